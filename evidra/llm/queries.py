@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, mpeg_audio
+from . import mixing, mpeg_audio, secret_scan
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": lambda spark, sf_dir: mpeg_audio.query(table(spark, sf_dir, "documents")),
+    "op7_secret_scan": lambda spark, sf_dir: secret_scan.query(table(spark, sf_dir, "documents")),
     "op8_mix_sources": lambda spark, sf_dir: mixing.query(table(spark, sf_dir, "documents")),
 }
-ORACLE_SQL: dict[str, str] = {"op8_mix_sources": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_secret_scan": secret_scan.SQL, "op8_mix_sources": mixing.SQL}
