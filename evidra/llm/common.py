@@ -53,3 +53,21 @@ def remainder(column: str | Column, m: int) -> Column:
 def words(text: str | None) -> list[str]:
     """Words of a text as the contracts cut them, A-Z lowered."""
     return text.translate(ASCII_LOWER).translate(SPACES).split(" ") if text else []
+
+
+def draw(id_column: str, seed: str) -> Column:
+    """A number in [0, 1) from 52 bits of the md5 of id and seed."""
+    key = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+
+
+def sampled(rows: DataFrame, label: str, per_label: int, seed: str, id_column: str = "doc_id", most_labels: int = 1000) -> DataFrame:
+    """About per_label rows of each label, chosen by a hash of the id alone; null labels are left out.
+
+    Labels beyond the most_labels commonest are left out too. Only one count for each label comes to the driver.
+    """
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
+    if not counts:
+        return rows.limit(0)
+    shares = F.create_map(*[F.lit(x) for value, n in counts for x in (value, min(1.0, per_label / n))])
+    return rows.where(draw(id_column, seed) < F.coalesce(shares[F.col(label)], F.lit(0.0)))

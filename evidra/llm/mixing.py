@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, stored
+from .common import WORD, draw, stored
 
 #: A source table of at most so many rows is broadcast; a larger one is joined by shuffle, its hot keys split by AQE.
 BROADCAST_SOURCES = 50_000
@@ -22,12 +22,6 @@ def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(id_column: str, seed: str):
-    """A number in [0, 1) from 52 bits of the md5 of id and seed."""
-    key = F.concat(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.lit(f":{seed}"))
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
-
-
 def source_targets(sized: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
     """One row per source: source, source_size, target.
 
