@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, mpeg_audio, secret_scan
+from . import language_id, mixing, mpeg_audio, secret_scan, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": lambda spark, sf_dir: mpeg_audio.query(table(spark, sf_dir, "documents")),
     "op4_language_id": lambda spark, sf_dir: language_id.query(table(spark, sf_dir, "documents")),
+    "op5_toxicity": toxicity.query,
     "op7_secret_scan": lambda spark, sf_dir: secret_scan.query(table(spark, sf_dir, "documents")),
     "op8_mix_sources": lambda spark, sf_dir: mixing.query(table(spark, sf_dir, "documents")),
 }
