@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, mpeg_audio, secret_scan, toxicity
+from . import language_id, mixing, mpeg_audio, pieces, secret_scan, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,5 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity.query,
     "op7_secret_scan": lambda spark, sf_dir: secret_scan.query(table(spark, sf_dir, "documents")),
     "op8_mix_sources": lambda spark, sf_dir: mixing.query(table(spark, sf_dir, "documents")),
+    "op9_sentence_pieces": pieces.query,
 }
 ORACLE_SQL: dict[str, str] = {"op7_secret_scan": secret_scan.SQL, "op8_mix_sources": mixing.SQL}
