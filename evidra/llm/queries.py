@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, mpeg_audio, pieces, secret_scan, token_store, toxicity
+from . import jaccard_join, language_id, mixing, mpeg_audio, pieces, secret_scan, token_store, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": lambda spark, sf_dir: secret_scan.query(table(spark, sf_dir, "documents")),
     "op8_mix_sources": lambda spark, sf_dir: mixing.query(table(spark, sf_dir, "documents")),
     "op9_sentence_pieces": pieces.query,
+    "op10_jaccard_join": lambda spark, sf_dir: jaccard_join.query(table(spark, sf_dir, "documents")),
 }
 ORACLE_SQL: dict[str, str] = {"op7_secret_scan": secret_scan.SQL, "op8_mix_sources": mixing.SQL}
