@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, mixing, mpeg_audio, pieces, secret_scan, token_store, toxicity
+from . import jaccard_join, language_id, lattice_dedup, mixing, mpeg_audio, pieces, secret_scan, token_store, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mpeg_audio": lambda spark, sf_dir: mpeg_audio.query(table(spark, sf_dir, "documents")),
     "op2_token_store": token_store.query,
+    "op3_lattice_dedup": lambda spark, sf_dir: lattice_dedup.query(table(spark, sf_dir, "embeddings")),
     "op4_language_id": lambda spark, sf_dir: language_id.query(table(spark, sf_dir, "documents")),
     "op5_toxicity": toxicity.query,
     "op7_secret_scan": lambda spark, sf_dir: secret_scan.query(table(spark, sf_dir, "documents")),
