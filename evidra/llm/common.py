@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of every contract: space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: str.translate tables for the same rules in Python.
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
-SPACES = str.maketrans("\x09\x0a\x0b\x0c\x0d", "     ")
+#: Lowers A-Z in UTF-8 bytes and leaves all else.
+ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Rows and bytes in one Arrow batch; texts may be long, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
@@ -50,9 +51,9 @@ def remainder(column: str | Column, m: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(m)
 
 
-def words(text: str | None) -> list[str]:
-    """Words of a text as the contracts cut them, A-Z lowered."""
-    return text.translate(ASCII_LOWER).translate(SPACES).split(" ") if text else []
+def words(text: str | None) -> list[bytes]:
+    """Words of a text as the contracts cut them (bytes split at the same ASCII blanks), A-Z lowered, as UTF-8."""
+    return text.encode().translate(ASCII_LOWER).split() if text else []
 
 
 def draw(id_column: str, seed: str) -> Column:
@@ -71,3 +72,12 @@ def sampled(rows: DataFrame, label: str, per_label: int, seed: str, id_column: s
         return rows.limit(0)
     shares = F.create_map(*[F.lit(x) for value, n in counts for x in (value, min(1.0, per_label / n))])
     return rows.where(draw(id_column, seed) < F.coalesce(shares[F.col(label)], F.lit(0.0)))
+
+
+def one_blas_thread() -> None:
+    """Keeps numpy's own BLAS, where it can be told so, from starting threads beside Spark's task slots."""
+    for lib in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if setter := getattr(ctypes.CDLL(str(lib)), name, None):
+                setter(1)
+                break

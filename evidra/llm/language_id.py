@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, sampled, small_batches
+from .common import one_blas_thread, remainder, sampled, small_batches
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
 STRIDE = WINDOW - max(WIDTHS) + 1
@@ -79,6 +79,7 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
 
 def train(x: np.ndarray, y: np.ndarray, labels: Sequence[str], steps: int = 600, rate: float = 0.05, seed: int = 7) -> ByteConvNet:
     """Adagrad on cross-entropy for at least so many steps and four epochs; the gradient of a pooled response reaches the bytes of its best position."""
+    one_blas_thread()
     rng = np.random.default_rng(seed)
     net = ByteConvNet(
         list(labels), {w: rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS},
@@ -182,6 +183,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, id_column: str = "doc_id",
     names = ["k0", *[f"k{i + 1}" for i in range(len(keep))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for b in batches:
             got = classify(b.column(0).to_pylist(), net)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in got], pa.string()), pa.array([p for _, p in got], pa.float64())], names=[*names, "lang_pred", "score"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import one_blas_thread, stored
 from .graph import components
 
 #: Vectors of a cell that are compared at once with another such block; larger cells are split into block pairs.
@@ -180,6 +180,7 @@ def _compare(lattice: Lattice):
                 yield n, m, 0, 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         now, held = None, []
         out: list[tuple[int, int, int, int]] = []
 

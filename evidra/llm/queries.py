@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, lattice_dedup, mixing, mpeg_audio, pieces, secret_scan, token_store, toxicity
+from . import gru_lm, jaccard_join, language_id, lattice_dedup, mixing, mpeg_audio, pieces, secret_scan, token_store, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lattice_dedup": lambda spark, sf_dir: lattice_dedup.query(table(spark, sf_dir, "embeddings")),
     "op4_language_id": lambda spark, sf_dir: language_id.query(table(spark, sf_dir, "documents")),
     "op5_toxicity": toxicity.query,
+    "op6_gru_lm": lambda spark, sf_dir: gru_lm.query(table(spark, sf_dir, "documents")),
     "op7_secret_scan": lambda spark, sf_dir: secret_scan.query(table(spark, sf_dir, "documents")),
     "op8_mix_sources": lambda spark, sf_dir: mixing.query(table(spark, sf_dir, "documents")),
     "op9_sentence_pieces": pieces.query,
