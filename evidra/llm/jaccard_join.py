@@ -4,8 +4,7 @@ Documents with equal shingle sets are one node. A node's shingles are put in one
 nodes at the threshold share one of their first shingles. Nodes with the same prefix and size form a group that enters
 the index once; group pairs are filtered by size and position, then expanded and verified on whole sets.
 
-Classes need no link inside a class twice: a first round verifies each node against one leader of the lists that its
-first shingles are in; the second enumerates only pairs whose ends are still in different classes, so that every link
+Classes need no link inside a class twice: a first round verifies nodes against the leaders of the lists they are in; the second enumerates only pairs whose ends are still in different classes, so that every link
 between them is found, and large groups of copies cost no square of their size.
 """
 
@@ -17,9 +16,10 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, small_batches, stored, words
@@ -30,8 +30,9 @@ from .graph import components
 COMMON, MET = 1 << 17, 4
 #: Shingles counted together in a partition.
 PIECE = 4_000_000
-#: First shingles whose lists give leaders in the first round.
-FIRST = 4
+#: Lists of more entries than this that still hold several classes go through rounds of a few pairs each, which join
+#: most of a large group of near copies, before all pairs across its classes are looked at.
+CROWDED, STEPS, ROUNDS = 12, (1, 2, 3, 5, 8, 13), 3
 #: Entries of a list compared at once with another such block.
 BLOCK = 512
 
@@ -47,11 +48,20 @@ class Join:
         return n - (self.percent * n + 99) // 100 + 1
 
     def least_overlap(self, a: Any, b: Any) -> Any:
-        """The smallest intersection of linked sets of these sizes."""
-        return -(-self.percent * (a + b) // (100 + self.percent))
+        """The smallest intersection of linked sets of these sizes: whole numbers, arrays or columns."""
+        share = self.percent * (a + b) + 99 + self.percent
+        return F.floor(share / (100 + self.percent)) if isinstance(a, Column) else share // (100 + self.percent)
 
 
-_known: dict[str, int] = {}
+class _Hashes(dict):
+    """Word hashes, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = xxhash.xxh3_64_intdigest(word)
+        return code
+
+
+_known = _Hashes()
 _M = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], np.uint64)
 
 
@@ -60,16 +70,10 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     if len(_known) > 400_000:
         _known.clear()
     tokens = words(text)
-    try:
-        codes = [_known[w] for w in tokens if w]
-    except KeyError:
-        for w in {w for w in tokens if w} - _known.keys():
-            _known[w] = xxhash.xxh3_64_intdigest(w)
-        codes = [_known[w] for w in tokens if w]
-    n = len(codes)
+    n = len(tokens)
     if not n:
         return np.zeros(0, np.uint64)
-    x = np.array(codes, np.uint64)
+    x = np.fromiter(map(_known.__getitem__, tokens), np.uint64, n)
     take = min(width, n)
     h = np.full(n - take + 1, take, np.uint64)
     for k in range(take):
@@ -130,11 +134,14 @@ def _survey(join: Join):
 
 
 def _prefixes(join: Join, common: np.ndarray, rank: np.ndarray):
-    """Rows (node, n, group, prefix) of whole texts; common is sorted, rank orders it from rare to common."""
+    """Rows (node, n, group, last, prefix) of whole texts; common is sorted, rank is each one's place from rare to common.
+
+    last orders the ends of prefixes: a smaller one surely ends first, equal ones are not told apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: dict[str, list[Any]] = {"node": [], "n": [], "grouped": [], "prefix": []}
+            rows: dict[str, list[Any]] = {"node": [], "n": [], "grouped": [], "last": [], "prefix": []}
             for t in b.column(0).to_pylist():
                 s = shingles(t, join.width)
                 if not len(s):
@@ -142,22 +149,29 @@ def _prefixes(join: Join, common: np.ndarray, rank: np.ndarray):
                 at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
                 usual = common[at] == s if len(common) else np.zeros(len(s), bool)
                 p = join.prefix(len(s))
-                head = s[~usual][:p]
+                head, place = s[~usual][:p], 0
                 if len(head) < p:
-                    late = s[usual]
-                    head = np.concatenate([head, late[np.argsort(rank[at[usual]], kind="stable")][: p - len(head)]])
+                    late, places = s[usual], rank[at[usual]]
+                    order = np.argsort(places)[: p - len(head)]
+                    head, place = np.concatenate([head, late[order]]), int(places[order[-1]]) + 1
+                rows["last"].append(place << 44 | int(head[-1]) >> 4)
                 rows["node"].append(node_of(s)), rows["n"].append(len(s)), rows["prefix"].append(head.astype(np.int64))
                 rows["grouped"].append(node_of(np.append(head, np.uint64(len(s)))))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["node"], pa.int64()), pa.array(rows["n"], pa.int32()), pa.array(rows["grouped"], pa.int64()), pa.array(rows["prefix"], pa.list_(pa.int64()))], names=list(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(rows["node"], pa.int64()), pa.array(rows["n"], pa.int32()), pa.array(rows["grouped"], pa.int64()), pa.array(rows["last"], pa.int64()), pa.array(rows["prefix"], pa.list_(pa.int64()))], names=list(rows))
 
     return run
 
 
 def _sets(join: Join):
+    """(node, members), each node once in a task: rows that repeat an id and text are in one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            found = [shingles(t, join.width) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([packed(s) for s in found], pa.binary())], names=["node", "members"])
+            found = {node_of(s): s for t in b.column(0).to_pylist() if len(s := shingles(t, join.width))}
+            fresh = {k: s for k, s in found.items() if k not in seen}
+            seen.update(fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array([packed(s) for s in fresh.values()], pa.binary())], names=["node", "members"])
 
     return run
 
@@ -184,14 +198,17 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return both.select("a", "b", "of_a", "of_b").mapInArrow(_verify(join), "a long, b long")
 
 
+PAIR = "a long, b long, n_a int, n_b int, at_a int, at_b int, last_a long, last_b long"
+
+
 def _across(join: Join):
-    """Sorted list entries (token, size, node, at, component): pairs that sizes and positions allow, across classes."""
+    """Sorted list entries (token, n, node, at, most, last, grp, own): pairs that sizes and bounds allow, across classes."""
+    names = [f.split()[0] for f in PAIR.split(", ")]
+    types = [pa.int64() if f.endswith("long") else pa.int32() for f in PAIR.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32()), ("at_a", pa.int32()), ("at_b", pa.int32())])
-
         def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            size, node, at, own = rows.T
+            size, node, at, most, last, grp, own = rows.T
             for i in range(0, len(rows), BLOCK):
                 x = slice(i, i + BLOCK)
                 for j in range(i, len(rows), BLOCK):
@@ -199,14 +216,14 @@ def _across(join: Join):
                     if 100 * size[x][-1] < join.percent * size[y][0]:
                         break  # sizes ascend
                     small, large = size[x][:, None], size[y][None, :]
-                    ok = (own[x][:, None] != own[y][None, :]) & (100 * small >= join.percent * large)
-                    ok &= 1 + np.minimum(small - 1 - at[x][:, None], large - 1 - at[y][None, :]) >= join.least_overlap(small, large)
+                    ok = (own[x][:, None] != own[y][None, :]) & (grp[x][:, None] != grp[y][None, :]) & (100 * small >= join.percent * large)
+                    ok &= np.minimum(most[x][:, None], most[y][None, :]) >= join.least_overlap(small, large)
                     p, q = np.nonzero(np.triu(ok, 1) if i == j else ok)
                     if len(p):
                         p, q = p + i, q + j
                         swap = node[p] > node[q]
                         p, q = np.where(swap, q, p), np.where(swap, p, q)
-                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((node[p], node[q], size[p], size[q], at[p], at[q]), schema.types, strict=True)], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((node[p], node[q], size[p], size[q], at[p], at[q], last[p], last[q]), types, strict=True)], names=names)
 
         rest: np.ndarray | None = None
         for b in batches:
@@ -222,6 +239,97 @@ def _across(join: Join):
     return run
 
 
+def _some(join: Join, salt: int):
+    """Sorted list entries as for _across: a few pairs of each entry, with those a few steps on in a shuffled order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            rows = rows[np.argsort(rows[:, 1].view(np.uint64) * _M[1 + salt], kind="stable")]
+            size, node, _, most, _, grp, own = rows.T
+            for step in STEPS:
+                x, y = slice(0, max(0, len(rows) - step)), slice(step, len(rows))
+                small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                ok = (own[x] != own[y]) & (grp[x] != grp[y]) & (100 * small >= join.percent * large) & (np.minimum(most[x], most[y]) >= join.least_overlap(small, large))
+                a, b = node[x][ok], node[y][ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        rest: np.ndarray | None = None
+        for b in batches:
+            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
+            rows = rows if rest is None else np.concatenate([rest, rows])
+            edges = [0, *(np.flatnonzero(np.diff(rows[:, 0])) + 1).tolist()]
+            for i, j in zip(edges, edges[1:], strict=False):
+                yield from pairs(np.ascontiguousarray(rows[i:j, 1:]))
+            rest = rows[edges[-1] :]
+        if rest is not None and len(rest):
+            yield from pairs(np.ascontiguousarray(rest[:, 1:]))
+
+    return run
+
+
+def possible(met: DataFrame, join: Join) -> DataFrame:
+    """Of pairs (PAIR, a row for each shared prefix shingle), those (a, b) whose sets can still be linked.
+
+    With k shared shingles, the last at positions i and j, the sets share at most k and what follows there. And the
+    set whose prefix ends first in the order lacks a partner for all of its prefix but those k.
+    """
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("k"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "at_a", "at_b", "last_a", "last_b")])
+    n_a, n_b, k = F.col("n_a"), F.col("n_b"), F.col("k")
+    least = join.least_overlap(n_a, n_b)
+    rest = lambda n: k + F.floor((n * join.percent + 99) / 100) - 1
+    ends = F.when(F.col("last_a") < F.col("last_b"), rest(n_a)).when(F.col("last_b") < F.col("last_a"), rest(n_b)).otherwise(least)
+    return pairs.where((k + F.least(n_a - 1 - F.col("at_a"), n_b - 1 - F.col("at_b")) >= least) & (ends >= least)).select("a", "b")
+
+
+#: Ids of which a Bloom filter is sent to the scan; with more, all texts are shuffled to the join instead.
+FILTERED = 800_000
+NO_ID = -(1 << 63)
+
+
+def _maybe(ids: DataFrame) -> Any:
+    """A Bloom filter of the column key as a predicate on a key column, or None if it would be too large."""
+    n = ids.limit(FILTERED + 1).count()
+    if n > FILTERED:
+        return None
+    bits = 1 << max(13, (12 * max(n, 1)).bit_length())
+
+    def places(keys: np.ndarray) -> list[np.ndarray]:
+        h = keys.astype(np.int64).view(np.uint64) * _M[1]
+        h ^= h >> np.uint64(32)
+        h *= _M[2]
+        return [((h >> np.uint64(8)) + np.uint64(k) * ((h >> np.uint64(36)) | np.uint64(1))) % np.uint64(bits) for k in range(5)]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for b in batches:
+            for at in places(b.column(0).to_numpy(zero_copy_only=False)):
+                own[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
+
+    held = np.zeros(bits, bool)
+    for r in ids.coalesce(4).mapInArrow(fill, "bits binary").toLocalIterator():
+        held |= np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    shared = ids.sparkSession.sparkContext.broadcast(np.packbits(held).tobytes())
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        table = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        values = keys.to_numpy()
+        return pd.Series(np.logical_and.reduce([table[at] for at in places(values)]))
+
+    return maybe
+
+
+def sets_of(source: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """(node, members) of the nodes in pairs, from the one text of each with the smallest id."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stored(asked.join(nodes, "node").select(F.coalesce("least", F.lit(NO_ID)).alias("key")).distinct(), "jaccard-wanted")
+    keyed = source.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text")
+    if maybe := _maybe(wanted):
+        keyed = keyed.where(maybe("key"))
+    return stored(keyed.join(wanted, "key", "left_semi").select("text").mapInArrow(_sets(join), "node long, members binary"), "jaccard-sets", compression="none")
+
+
 def classes(docs: DataFrame, join: Join = Join(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs.
 
@@ -240,38 +348,59 @@ def classes(docs: DataFrame, join: Join = Join(), text: str = "text", id_column:
     often = survey.where("kind = 'common'").groupBy("shingle").agg(F.sum("met").alias("met")).orderBy(F.desc("met"), "shingle").limit(COMMON).collect()
     by_value = sorted((r["shingle"], r["met"]) for r in often)
     common = np.array([s for s, _ in by_value], np.uint64)
-    rank = np.array([m for _, m in by_value], np.int64)
+    rank = np.empty(len(by_value), np.int64)  # place in the order by how often met, then by hash
+    rank[np.lexsort((common, [m for _, m in by_value]))] = np.arange(len(by_value))
     nodes = stored(listed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "jaccard-nodes")
 
-    prefixes = source.select("text").mapInArrow(_prefixes(join, common, rank), "node long, n int, grouped long, prefix array<long>").dropDuplicates(["node"])
+    prefixes = source.select("text").mapInArrow(_prefixes(join, common, rank), "node long, n int, grouped long, last long, prefix array<long>").dropDuplicates(["node"])
     prefixes = stored(prefixes, "jaccard-prefixes")
-    members = prefixes.select("grouped", "node", "n")
-    groups = prefixes.groupBy("grouped").agg(F.min("node").alias("node"), F.count("*").alias("held"))
-    index = prefixes.join(groups.select("node"), "node", "left_semi").select("grouped", F.posexplode("prefix").alias("at", "token"))
+    members = prefixes.select("grouped", "node")
+    groups = stored(prefixes.groupBy("grouped").agg(F.min("node").alias("node"), F.min("n").alias("n"), F.min("last").alias("last"), F.count("*").alias("held")), "jaccard-groups")
+    index = prefixes.join(groups.select("node"), "node", "left_semi").select("grouped", "n", "last", F.posexplode("prefix").alias("at", "token"))
     counted = index.groupBy("token").count().where("count > 1").select("token")
-    live = stored(index.join(counted, "token"), "jaccard-index")  # group entries of shingles in at least two prefixes
 
-    crowd = groups.where("held > 1").select("grouped")
-    entries = live.join(members, "grouped").select("token", "n", "node", "at")
-    inside = members.join(crowd, "grouped", "left_semi").select(F.col("grouped").alias("token"), "n", "node", F.lit(0).alias("at"))
+    # Prefix shingles in no other prefix are in no partner that shares a later one: "most" bounds the intersection.
+    # The smaller of a linked pair lacks few, so an entry matters only near the sizes of entries that can be the smaller.
+    n = F.col("n")
+    before = F.row_number().over(Window.partitionBy("grouped").orderBy("at")) - 1
+    live = stored(index.join(counted, "token").withColumn("most", n - (F.col("at") - before)), "jaccard-index")
+    strong = F.when(F.col("most") >= join.least_overlap(n, n), n)
+    near = live.groupBy("token").agg(F.min(strong).alias("low"), F.max(strong).alias("high"), F.count("*").alias("size")).where("low IS NOT NULL AND size > 1")
+    chosen = live.join(near, "token").where((100 * n >= join.percent * F.col("low")) & (100 * F.col("high") >= join.percent * n))
+    entries = chosen.join(members, "grouped").select("token", "n", "node", "at", "most", "last", F.col("grouped").alias("grp"))
+    crowd = members.join(groups.where("held > 1").select("grouped", "n", "last"), "grouped")
+    inside = crowd.select(F.col("grouped").alias("token"), "n", "node", F.lit(0).alias("at"), n.alias("most"), "last", F.col("node").alias("grp"))
     entries = stored(entries.unionByName(inside), "jaccard-entries")
-    wanted = entries.select("node").distinct().join(nodes, "node").select(F.col("least").alias("doc_id")).distinct()
-    texts = source.join(wanted, "doc_id", "left_semi").select("text")
-    sets = stored(texts.mapInArrow(_sets(join), "node long, members binary").dropDuplicates(["node"]), "jaccard-sets", compression="none")
-
-    first = entries.where(F.col("at") < FIRST)
-    leaders = first.groupBy("token").agg(F.min(F.struct("node", "n")).alias("lead"))
-    star = first.join(leaders, "token").where("node <> lead.node AND 100 * least(n, lead.n) >= %d * greatest(n, lead.n)" % join.percent)
-    links = stored(verified(star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), sets, join), "jaccard-links")
-    labels = components(links)
-
-    named = entries.join(labels, "node", "left").select("token", "n", "node", "at", F.coalesce("component", "node").alias("own"))
-    open_lists = named.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo < hi").select("token")
-    across = named.join(open_lists, "token").repartition("token").sortWithinPartitions("token", "n", "node")
-    met = across.select("token", "n", "node", "at", "own").mapInArrow(_across(join), "a long, b long, n_a int, n_b int, at_a int, at_b int")
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-    possible = pairs.where(F.col("k") + F.least(F.col("n_a") - 1 - F.col("at_a"), F.col("n_b") - 1 - F.col("at_b")) >= F.ceil(F.lit(float(join.percent)) * (F.col("n_a") + F.col("n_b")) / (100 + join.percent) - 1e-9))
-    more = verified(possible.select("a", "b"), sets, join)
+
+    leaders = entries.groupBy("token").agg(F.min(F.struct("node", "n", "at", "most", "last", "grp")).alias("lead"))
+    small, large = F.least(n, F.col("lead.n")), F.greatest(n, F.col("lead.n"))
+    allowed = (F.col("node") != F.col("lead.node")) & (F.col("grp") != F.col("lead.grp")) & (100 * small >= join.percent * large) & (F.least("most", "lead.most") >= join.least_overlap(small, large))
+    star = entries.join(leaders, "token").where(allowed).select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("n_a"), n.alias("n_b"), F.col("lead.at").alias("at_a"), F.col("at").alias("at_b"), F.col("lead.last").alias("last_a"), F.col("last").alias("last_b"))
+    first = stored(possible(star, join), "jaccard-star")
+    links = stored(verified(first, sets_of(source, first, nodes, join), join), "jaccard-links")
+    labels, tried = components(links), first
+    columns = ["token", "n", "node", "at", "most", "last", "grp", "own"]
+
+    def open_entries(least: int) -> DataFrame:
+        named = entries.join(labels, "node", "left").withColumn("own", F.coalesce("component", "node")).select(*columns)
+        lists = named.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("held")).where(F.expr(f"lo < hi AND held > {least}")).select("token")
+        return named.join(lists, "token").repartition("token").sortWithinPartitions("token", "n", "node").select(*columns)
+
+    for salt in range(ROUNDS):
+        few = open_entries(CROWDED).mapInArrow(_some(join, salt), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        few = stored(few, "jaccard-some")
+        if few.isEmpty():
+            break
+        fresh = stored(verified(few, sets_of(source, few, nodes, join), join), "jaccard-links")
+        if fresh.isEmpty():
+            break
+        links, tried = links.unionByName(fresh), tried.unionByName(few)
+        labels = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    across = open_entries(1)
+    met = across.mapInArrow(_across(join), PAIR)
+    second = stored(possible(met, join).join(tried, ["a", "b"], "left_anti"), "jaccard-across")
+    more = verified(second, sets_of(source, second, nodes, join), join)
     edges = links.unionByName(more).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
     final = components(edges)
 
