@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -35,10 +36,16 @@ _ODD = 0x9E3779B97F4A7C15
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 
 
+_grown: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers of base modulo 2**64; kept, and grown when more are asked for."""
+    if base not in _grown or len(_grown[base]) < n:
+        out = np.full(max(4096, 2 * n), base, np.uint64)
+        out[0] = 1
+        _grown[base] = np.multiply.accumulate(out)
+    return _grown[base][:n]
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -52,7 +59,7 @@ def cuts(ids: np.ndarray) -> list[int]:
     sums[LOOK:] -= sums[:-LOOK].copy()
     rolled = (sums * _powers(_ODD, n)) >> np.uint64(40)
     out, last = [], 0
-    for end in (np.flatnonzero(rolled % np.uint64(MEAN) == 0) + 1).tolist():
+    for end in (np.flatnonzero(rolled & np.uint64(MEAN - 1) == 0) + 1).tolist():
         while end - last > MOST:
             last += MOST
             out.append(last)
@@ -83,7 +90,7 @@ def pack(ids: np.ndarray) -> bytes:
     """Ids as compressed byte planes; the first byte counts the planes."""
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
     planes = 2 if not len(ids) or int(ids.max()) < 65536 else 4
-    return bytes([planes]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(raw[:, :planes].T).tobytes())
+    return bytes([planes]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw[:, :planes].T).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -128,19 +135,21 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(words), add_special_tokens=False)]
 
     def _words(self, words: Sequence[str]) -> list[bytes]:
-        out, left, model, cores = [b""] * len(words), [], self.tokenizer.model, self.cores
+        out, left, model, cores, letters, direct = [b""] * len(words), [], self.tokenizer.model, self.cores, self.letters, self.direct
         tails: dict[str, list[int]] = {}
         for k, word in enumerate(words):
             core = word.rstrip(MARKS)
-            if not (self.direct and core and PLAIN.fullmatch(core)):
+            ascii = core.isascii()
+            if not direct or not (core.isalpha() if ascii else PLAIN.fullmatch(core)):
                 left.append(k)
                 continue
-            core_ids = cores.get(low := core.lower())
-            if core_ids is None:
-                core_ids = np.array([t.id for t in model.tokenize(low if low.isascii() else "".join([self.letters[b] for b in low.encode()]))], "<u4").tobytes()
+            low = core.lower()
+            ids = cores.get(low)
+            if ids is None:
+                ids = array("I", [t.id for t in model.tokenize(low if ascii else "".join([letters[b] for b in low.encode()]))]).tobytes()
                 if len(low) <= 48:
-                    cores[low] = core_ids
-            out[k] = core_ids
+                    cores[low] = ids
+            out[k] = ids
             if len(core) < len(word):
                 tails.setdefault(word[len(core) :], []).append(k)
         for k, ids in zip(left, self._library([words[k] for k in left]), strict=True):
