@@ -212,7 +212,7 @@ class Pieces:
         seen = self.seen
         if len(seen) > REMEMBERED:
             seen.clear()
-        fresh = [*{s for parts in cut for s in parts if s is not None} - seen.keys()]
+        fresh = [s for s in {s for parts in cut for s in parts if s is not None} if s not in seen]
         seen.update(zip(fresh, self.viterbi(fresh), strict=True))
         seen[None] = (literal[0], 0.0)  # type: ignore[index]
         out = []
