@@ -131,16 +131,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     """Learns from a bounded, hash-chosen sample of the labelled rows that have a document.
 
     Null labels are left out; repeated ids count once with their largest label. The sample of label rows is bounded,
-    so it is broadcast to the documents; whole texts of the sample are kept for the second pass. Sampled texts whose
-    words have the same least hash are kin, mostly copies of each other: together they count as one document.
+    so it is broadcast to the documents; whole texts of the sample are kept for the second pass. Sampled texts of one
+    label with the same words in the same order are copies: together they count as one document, every other fully.
     """
     small_batches(docs.sparkSession)
     rows = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(label).cast("int").alias("_label"))
     chosen = sampled(rows, "_label", per_label, "toxicity", id_column)
-    kin = F.array_min(F.transform(F.array_distinct(F.split(F.lower(text), r"[\s\p{Punct}]+")), lambda w: F.xxhash64(w)))
-    drawn = stored(docs.select(id_column, text).join(F.broadcast(chosen), id_column).select(F.col(text).alias("text"), "_label", kin.alias("kin")), "toxic-sample")
-    sizes = drawn.groupBy("kin").agg((1.0 / F.count("*")).alias("weight")).withColumnRenamed("kin", "_kin")
-    texts = drawn.join(sizes, F.col("kin").eqNullSafe(F.col("_kin"))).select("text", "_label", "weight")
+    copy = F.sha2(F.array_join(F.split(F.lower(text), r"[\s\p{Punct}]+"), " "), 256)
+    drawn = stored(docs.select(id_column, text).join(F.broadcast(chosen), id_column).select(F.col(text).alias("text"), "_label", copy.alias("copy")), "toxic-sample")
+    sizes = drawn.groupBy(F.col("_label").alias("_of"), F.col("copy").alias("_copy")).agg((1.0 / F.count("*")).alias("weight"))
+    texts = drawn.join(sizes, (F.col("_label") == F.col("_of")) & F.col("copy").eqNullSafe(F.col("_copy"))).select("text", "_label", "weight")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[dict[str, float], dict[str, float]] = (defaultdict(float), defaultdict(float))

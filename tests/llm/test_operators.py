@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidra.llm import gru_lm, jaccard_join, language_id, lattice_dedup, mixing, mpeg_audio, pieces, queries, secret_scan, token_store, toxicity
 from evidra.llm.common import words
@@ -182,6 +183,19 @@ def test_toxicity_learns(spark, odd, none):
     assert toxicity.score(none, empty).count() == 0 and toxicity.score(odd, empty).count() == len(EDGES)
 
 
+def test_toxicity_counts_documents_that_share_a_word(spark):
+    """A word of the least hash in every text makes no copies of them; only equal texts of one label count once."""
+    least = spark.range(3000).selectExpr("concat('w', id) AS w").orderBy(F.xxhash64("w")).first()["w"]
+    rng = random.Random(6)
+    bad = [f"{least} idiot " + " ".join(f"w{rng.randrange(3000)}" for _ in range(30)) for _ in range(80)]
+    good = [f"{least} " + " ".join(f"w{rng.randrange(3000)}" for _ in range(30)) for _ in range(240)]
+    rows = [*enumerate([*bad, *good]), *((1000 + k, f"{least} copied") for k in range(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < len(bad) or i >= 1000)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    assert model.weights.get("idiot", 0) > 0 and "copied" not in model.weights
+
+
 def test_gru_gradient_and_base(spark, odd, none):
     rng = np.random.default_rng(0)
     numbers = [np.append(rng.integers(1, gru_lm.VOCABULARY + gru_lm.ENDINGS, n), 0).astype(np.int32) for n in (1, 5, 40)]
