@@ -1,4 +1,4 @@
-"""Connected components of a link table, by min-label rounds with pointer jumping; nothing is gathered in one place."""
+"""Connected components of a link table, by min-label rounds with root hooking and pointer jumping; nothing is gathered in one place."""
 
 from __future__ import annotations
 
@@ -8,22 +8,25 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b), for every node that has a link.
 
-    Each round takes the least label of the neighbours and then the label of that label; it is written to the shared
-    folder, and only the number of changed labels comes to the driver. Repeated links and self-links change nothing.
+    Each round offers the least label of the neighbours to a node and to the node's own label, and then takes the label
+    of that label; so long chains settle in about logarithmic rounds, and rounds go on until nothing changes. A round is
+    written to the shared folder, and only whether a label changed comes to the driver. Repeated links and self-links
+    change nothing.
     """
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "graph-links")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "graph-labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("offered")), "b").groupBy("a").agg(F.min("offered").alias("offered"))
-        moved = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("before"), F.least("component", "offered").alias("component"))
+        met = labels.join(near, labels["node"] == near["a"]).select("node", "component", "offered")
+        hooks = met.groupBy(F.col("component").alias("root")).agg(F.min("offered").alias("hooked"))
+        moved = met.join(hooks, met["node"] == hooks["root"], "left").select("node", F.col("component").alias("before"), F.least("component", "offered", "hooked").alias("component"))
         heads = moved.select(F.col("node").alias("head"), F.col("component").alias("jump"))
-        jumped = moved.join(heads, moved["component"] == heads["head"], "left").select("node", "before", F.least("component", F.coalesce("jump", "component")).alias("component"))
+        jumped = moved.join(heads, moved["component"] == heads["head"], "left").select("node", "before", F.least("component", "jump").alias("component"))
         following = stored(jumped, "graph-labels")
         changed = following.where("component <> before").limit(1).count()
         labels = following.select("node", "component")
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

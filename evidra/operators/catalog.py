@@ -78,10 +78,10 @@ def with_periodic(requested: DataFrame, periodic: DataFrame, request: str, docum
     return first.select(request, document, "_row.*").drop("_from")
 
 
-def closure(edges: DataFrame, checkpoints: str | None = None, most_rounds: int = 60) -> DataFrame:
+def closure(edges: DataFrame, checkpoints: str | None = None) -> DataFrame:
     """(node, component) of the undirected graph of edges (src, dst): the smallest node reachable.
 
-    Min-label rounds with pointer jumping, each cut off by checkpoint() in the shared folder (``spark.checkpoint.dir``,
+    Min-label rounds with root hooking and pointer jumping until nothing changes, each cut off by checkpoint() in the shared folder (``spark.checkpoint.dir``,
     or the given one where that is unset).
     """
     spark = edges.sparkSession
@@ -90,16 +90,17 @@ def closure(edges: DataFrame, checkpoints: str | None = None, most_rounds: int =
         spark.sparkContext.setCheckpointDir(shared)
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     labels = both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")).checkpoint()
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("dst"), F.col("component").alias("c")), "dst").groupBy("src").agg(F.min("c").alias("c"))
-        moved = labels.join(near, labels["node"] == near["src"]).select("node", F.col("component").alias("before"), F.least("component", "c").alias("component"))
+        met = labels.join(near, labels["node"] == near["src"]).select("node", "component", "c")
+        hooks = met.groupBy(F.col("component").alias("root")).agg(F.min("c").alias("hooked"))
+        moved = met.join(hooks, met["node"] == hooks["root"], "left").select("node", F.col("component").alias("before"), F.least("component", "c", "hooked").alias("component"))
         head = moved.select(F.col("node").alias("head"), F.col("component").alias("jump"))
         following = moved.join(head, moved["component"] == head["head"], "left").select("node", "before", F.least("component", F.coalesce("jump", "component")).alias("component")).checkpoint()
         done = following.where("component <> before").isEmpty()
         labels = following.select("node", "component")
         if done:
             return labels
-    raise RuntimeError("the closure did not settle")
 
 
 def expand_seeds(seeds: DataFrame, edges: DataFrame, document: str, checkpoints: str | None = None) -> DataFrame:
