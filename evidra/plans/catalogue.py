@@ -388,7 +388,7 @@ def context_bundles(spark, sf_dir):
 
 @query()
 def evidence_line_pick(spark, sf_dir):
-    docs = t(spark, sf_dir, "documents").select("doc_id", "text", F.slice(N.answer_numbers(F.col("text")), 1, 3).alias("numbers"), F.array(F.lit("token"), F.lit("idiot")).alias("terms"))
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text", N.answer_numbers(F.col("text")).alias("numbers"), F.array(F.lit("token"), F.lit("idiot")).alias("terms"))
     return grounding.evidence_lines(docs, ["doc_id"], "text", "numbers", "terms")
 
 
