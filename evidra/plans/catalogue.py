@@ -45,9 +45,16 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(((F.col("vec_id") + 1) / 2).cast("int").alias("question_id"), F.col("vec_id").alias("request_id"), F.col("embedding").alias("query_vector"))
 
 
-def _found(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def _all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose number is divisible by 50, as request vec_id / 50; requests 2q - 1 and 2q are of question q."""
+    request = (F.col("vec_id") / 50).cast("long")
+    e = t(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    return e.select(F.floor((request + 1) / 2).cast("int").alias("question_id"), request.alias("request_id"), F.col("embedding").alias("query_vector"))
+
+
+def _found(spark: SparkSession, sf_dir: str, k: int, questions: Callable[[SparkSession, str], DataFrame] = _questions) -> DataFrame:
     chunks = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"), F.col("embedding").alias("vector"))
-    return retrieval.search(chunks, _questions(spark, sf_dir), [], k, per=["doc_id"])
+    return retrieval.search(chunks, questions(spark, sf_dir), [], k, per=["doc_id"])
 
 
 _FOUND = """q AS (SELECT ((vec_id + 1) // 2)::INT AS question_id, vec_id AS request_id, embedding AS qv FROM embeddings WHERE vec_id IN (1, 2, 3, 4)),
@@ -67,9 +74,9 @@ def rrf_fusion(spark, sf_dir):
     return retrieval.fuse(ranked).withColumn("fusion", F.round("fusion", 9))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored(spark: SparkSession, sf_dir: str, questions: Callable[[SparkSession, str], DataFrame] = _questions) -> DataFrame:
     """Query scores by one request's vector, keyword scores by that of its neighbour."""
-    found = _found(spark, sf_dir, 20)
+    found = _found(spark, sf_dir, 20, questions)
     other = found.select("question_id", "chunk_id", "request_id", F.col("score").alias("keyword_score")).withColumn("request_id", F.when(F.col("request_id") % 2 == 1, F.col("request_id") + 1).otherwise(F.col("request_id") - 1))
     joined = found.join(other, ["question_id", "request_id", "chunk_id"], "left")
     return joined.select("question_id", "request_id", "doc_id", "chunk_id", F.col("score").alias("query_score"), "keyword_score")
@@ -99,7 +106,7 @@ def qualify_cells(spark, sf_dir):
 
 @query()
 def pack_context(spark, sf_dir):
-    ranked = retrieval.qualify(retrieval.rerank(_scored(spark, sf_dir), keep=20))
+    ranked = retrieval.qualify(retrieval.rerank(_scored(spark, sf_dir, _all_questions), keep=20))
     rows = ranked.select("question_id", "request_id", F.col("doc_id").cast("int").alias("year"), "chunk_id", F.lit(2500).alias("chars"), "query_score", "final_score", "qualified", F.col("request_id").alias("cell_order"))
     return coverage.pack(rows)
 

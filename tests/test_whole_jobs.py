@@ -7,3 +7,9 @@ def test_evidence_lines_take_every_number(spark, tmp_path):
     text = "\n".join(f"line {n}" for n in range(11, 100, 11))
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert catalogue.evidence_line_pick(spark, str(tmp_path)).first()["lines"] == text.split("\n")
+
+
+def test_packing_asks_every_fiftieth_vector(spark, sf_dir):
+    ids = [r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()]
+    got = {r["question_id"] for r in catalogue.pack_context(spark, sf_dir).select("question_id").distinct().collect()}
+    assert got == {(v // 50 + 1) // 2 for v in ids}
