@@ -83,19 +83,13 @@ def _pack_one(rows: pd.DataFrame, most_chunks: int, most_chars: int) -> list[dic
     return [{"request_id": c[0], "year": c[1], "chunk_id": r.chunk_id, "step": n, "fallback": f} for c, held in taken.items() for r, n, f in held]
 
 
-def pack(candidates: DataFrame, most_chunks: int = MOST_CHUNKS, most_chars: int = MOST_CHARS, shortlist: int = 200) -> DataFrame:
+def pack(candidates: DataFrame, most_chunks: int = MOST_CHUNKS, most_chars: int = MOST_CHARS) -> DataFrame:
     """(question_id, request_id, year, chunk_id, step, fallback): the context of each question under its budget.
 
     First the best qualified chunk of every cell, then one unqualified for cells still empty, then rounds over cells by
     the score of what they offer next. A chunk in several cells costs once; one that overflows is passed over. The
-    greedy choice is sequential, so each question is one task; before that, Spark keeps what can matter of each cell.
+    greedy choice is sequential, so each question is one task over all its candidates.
     """
-    from pyspark.sql import Window
-
-    cell = Window.partitionBy("question_id", "request_id", "year")
-    by_final = F.row_number().over(cell.orderBy(F.desc("qualified"), F.desc("final_score"), "chunk_id"))
-    by_query = F.row_number().over(cell.orderBy(F.desc("query_score"), F.desc("final_score"), "chunk_id"))
-    narrowed = candidates.withColumn("_a", by_final).withColumn("_b", by_query).where((F.col("_a") <= shortlist) | (F.col("_b") <= shortlist)).drop("_a", "_b")
     kinds = dict(candidates.dtypes)
     schema = f"question_id {kinds['question_id']}, request_id {kinds['request_id']}, year {kinds['year']}, chunk_id {kinds['chunk_id']}, step int, fallback boolean"
 
@@ -104,4 +98,5 @@ def pack(candidates: DataFrame, most_chunks: int = MOST_CHUNKS, most_chars: int
         got.insert(0, "question_id", key[0])
         return got
 
-    return narrowed.groupBy("question_id").applyInPandas(run, schema)
+    columns = ["question_id", "request_id", "year", "chunk_id", "chars", "query_score", "final_score", "qualified", "cell_order"]
+    return candidates.select(*columns).groupBy("question_id").applyInPandas(run, schema)
