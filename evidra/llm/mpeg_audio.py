@@ -168,7 +168,8 @@ def parse(media: bytes | None, seek_every: int = SEEK_EVERY) -> dict[str, Any]:
 
     A sync word counts only if its frame fits and the next frame (or the end) follows it with the same version,
     layer and sampling rate; other bytes are skipped and counted. Free-format and reserved headers are not frames.
-    None or bytes without frames give zero frames. ``duration`` is exact (a Fraction of seconds).
+    None or bytes without frames give zero frames. ``duration`` is exact (a Fraction of seconds). Checksums are checked
+    in layer III alone, with the first frame's side size; of a VBRI table only bytes and frames are read.
     """
     media = media or b""
     tags, start, end = _tags(media)
