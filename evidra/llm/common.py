@@ -45,6 +45,32 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote and that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def at_least(counted: DataFrame, column: str, most: int) -> DataFrame:
+    """The rows with the largest whole numbers in a column, at most so many: all from a bound on, so ties go together.
+
+    Only a histogram comes to the driver, by the highest six bits of the numbers; within one of its steps rows are not
+    told apart.
+    """
+    counted = counted.where(f"{column} > 0")
+    power = F.greatest(F.floor(F.log2(F.col(column).cast("double"))) - 5, F.lit(0)).cast("int")
+    step = F.expr(f"shiftleft(shiftright(cast({column} as bigint), power), power)")
+    found = sorted(counted.withColumn("power", power).groupBy(step.alias("low")).count().collect(), reverse=True)
+    bound, held = None, 0
+    for low, n in found:
+        if (held := held + n) > most:
+            break
+        bound = low
+    return counted.where(F.col(column) >= bound) if bound is not None else counted.limit(0)
+
+
 def remainder(column: str | Column, m: int) -> Column:
     """crc32 of the value as text, modulo m (null: as the empty text)."""
     col = F.col(column) if isinstance(column, str) else column
@@ -62,16 +88,15 @@ def draw(id_column: str, seed: str) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def sampled(rows: DataFrame, label: str, per_label: int, seed: str, id_column: str = "doc_id", most_labels: int = 1000) -> DataFrame:
+def sampled(rows: DataFrame, label: str, per_label: int, seed: str, id_column: str = "doc_id") -> DataFrame:
     """About per_label rows of each label, chosen by a hash of the id alone; null labels are left out.
 
-    Labels beyond the most_labels commonest are left out too. Only one count for each label comes to the driver.
+    The counts of the labels are joined, not collected, so any number of labels is kept.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
-    if not counts:
-        return rows.limit(0)
-    shares = F.create_map(*[F.lit(x) for value, n in counts for x in (value, min(1.0, per_label / n))])
-    return rows.where(draw(id_column, seed) < F.coalesce(shares[F.col(label)], F.lit(0.0)))
+    labelled = rows.where(F.col(label).isNotNull())
+    counts = labelled.groupBy(F.col(label).alias("_label_of")).agg((F.lit(float(per_label)) / F.count("*")).alias("_label_share"))
+    drawn = labelled.withColumn("_drawn", draw(id_column, seed))
+    return drawn.join(counts, (F.col(label) == F.col("_label_of")) & (F.col("_drawn") < F.col("_label_share"))).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def one_blas_thread() -> None:
