@@ -15,6 +15,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 from typing import Any
 
 import numpy as np
@@ -30,8 +31,8 @@ END = 2
 #: Ids the rolling hash looks back on; mean, least and most ids of a chunk.
 LOOK, MEAN, LEAST, MOST = 16, 256, 64, 2048
 DIGEST = 16
-#: Words a worker remembers the ids of; the memory is emptied when full.
-REMEMBERED = 400_000
+#: Words a worker remembers the ids of; the memory is emptied when full. Longer words are not kept.
+REMEMBERED, LONG = 600_000, 48
 _ODD = 0x9E3779B97F4A7C15
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -86,15 +87,21 @@ def merkle_root(leaves: Sequence[bytes]) -> bytes:
     return level[0]
 
 
+_packer, _opener = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(ids: np.ndarray) -> bytes:
     """Ids as compressed byte planes; the first byte counts the planes."""
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
     planes = 2 if not len(ids) or int(ids.max()) < 65536 else 4
-    return bytes([planes]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw[:, :planes].T).tobytes())
+    return bytes([planes]) + _packer.compress(np.ascontiguousarray(raw[:, :planes].T).tobytes())
+
+
+EMPTY = pack(np.array([], "<u4"))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    raw = np.frombuffer(_opener.decompress(data[1:]), np.uint8).reshape(data[0], -1)
     out = np.zeros((raw.shape[1], 4), np.uint8)
     out[:, : data[0]] = raw.T
     return out.view("<u4").ravel()
@@ -112,67 +119,89 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
+class _Seen(dict):
+    """Ids of words, made when first asked for; long words are not kept."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__({"": b""})
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.make(word)
+        if len(word) <= LONG:
+            self[word] = ids
+        return ids
+
+
+class _Forms(dict):
+    """Ids of words with their case and marks, from those of their cores; written out in one place, as new words are many."""
+
+    def __init__(self, cores: _Seen, tails: _Seen, whole: Callable[[str], bytes]) -> None:
+        super().__init__({"": b""})
+        self.parts = cores, tails, whole
+        self.direct = True
+
+    def __missing__(self, word: str) -> bytes:
+        cores, tails, whole = self.parts
+        core = word.rstrip(MARKS)
+        if self.direct and (core.isalpha() if core.isascii() else PLAIN.fullmatch(core)):
+            ids = cores[core.lower()]
+            if len(core) < len(word):
+                ids += tails[word[len(core) :]]
+        else:
+            ids = whole(word)
+        if len(word) <= LONG:
+            self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, a word at a time with memory.
 
     For tokenizers whose tokens never cross white space (it drops blanks before it splits words), the ids of a text
-    are those of its words one after the other. If the tokenizer also lowers letters and splits them from marks, as a
-    probe shows, plain words go to the library's model directly, without the cost of its whole pipeline.
+    are those of its words one after the other. If the tokenizer also lowers letters and splits them from marks, plain
+    words go to the library's model directly, without the cost of its whole pipeline; the whole pipeline is compared
+    with that for every letter of PLAIN, alone, inside a word and before every mark, before it is relied on.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = byte_letters()
-        self.seen: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
-        self.direct = True
-        self.direct = b"".join(self._words(PROBE.split(" "))) == b"".join(self._library(PROBE.split(" ")))
-        self.cores.clear()
-
-    def _library(self, words: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(words), add_special_tokens=False)]
-
-    def _words(self, words: Sequence[str]) -> list[bytes]:
-        out, left, model, cores, letters, direct = [b""] * len(words), [], self.tokenizer.model, self.cores, self.letters, self.direct
-        tails: dict[str, list[int]] = {}
-        for k, word in enumerate(words):
-            core = word.rstrip(MARKS)
-            ascii = core.isascii()
-            if not direct or not (core.isalpha() if ascii else PLAIN.fullmatch(core)):
-                left.append(k)
-                continue
-            low = core.lower()
-            ids = cores.get(low)
-            if ids is None:
-                ids = array("I", [t.id for t in model.tokenize(low if ascii else "".join([letters[b] for b in low.encode()]))]).tobytes()
-                if len(low) <= 48:
-                    cores[low] = ids
-            out[k] = ids
-            if len(core) < len(word):
-                tails.setdefault(word[len(core) :], []).append(k)
-        for k, ids in zip(left, self._library([words[k] for k in left]), strict=True):
-            out[k] = ids
-        for ids, rows in zip(self._library(list(tails)), tails.values(), strict=True):
-            for k in rows:
-                out[k] += ids
-        return out
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.cores, self.tails = _Seen(self._model), _Seen(self._whole)
+        self.seen = _Forms(self.cores, self.tails, self._whole)
+        words = self.probe()
+        theirs = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        self.seen.direct = all(self.seen[w] == np.array(t.ids, "<u4").tobytes() for w, t in zip(words, theirs, strict=True))
+        self.forget()
+
+    @staticmethod
+    def probe() -> list[str]:
+        letters = [c for c in map(chr, range(0x250)) if PLAIN.fullmatch(c)]
+        return [*PROBE.split(" "), *letters, *[f"ab{c}Ab" for c in letters], *[f"{c}{m}" for c in letters for m in MARKS], *[f"ab{m}{k}" for m in MARKS for k in MARKS]]
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _model(self, low: str) -> bytes:
+        """The model's ids of a lower-case plain word."""
+        shown = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def forget(self) -> None:
+        for memory in (self.seen, self.cores, self.tails):
+            memory.clear()
+            memory[""] = b""
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        seen = self.seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
-            seen[""] = b""
-        if len(self.cores) > REMEMBERED:
-            self.cores.clear()
-        fresh = [w for w in set().union(*parts) if w not in seen]
-        seen.update(zip(fresh, self._words(fresh), strict=True))
-        out = [np.frombuffer(b"".join([seen[w] for w in p]), "<u4") for p in parts]
-        for word in fresh:
-            if len(word) > 48:
-                del seen[word]
+        out = []
+        if len(self.seen) > REMEMBERED or len(self.cores) > REMEMBERED or len(self.tails) > REMEMBERED:
+            self.forget()
+        ids_of = self.seen.__getitem__
+        for t in texts:
+            words = (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            out.append(np.frombuffer(b"".join(map(ids_of, words)), "<u4"))
         return out
 
 
@@ -217,17 +246,17 @@ def _write_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
     rows: list[tuple[Any, ...]] = []
 
-    def finish(row: dict[str, Any], shared: list[int], owned: list[int]) -> None:
+    def finish(row: tuple[Any, ...], shared: list[int], owned: list[int]) -> None:
         nonlocal place
-        data = row["data"]
+        doc_id, rid, n_tokens, sizes, digests, data = row
         if shared:
-            parts = np.split(unpack(data), np.cumsum(row["sizes"])[:-1])
-            rows.extend(("chunk", number, None, None, None, len(parts[k]), None, None, None, None, row["digests"][k], pack(parts[k])) for k in owned)
+            ids, ends = unpack(data), [0, *accumulate(sizes)]
+            rows.extend(("chunk", number, None, None, None, sizes[k], None, None, None, None, digests[k], pack(ids[ends[k] : ends[k + 1]])) for k in owned)
             gone = set(shared)
-            own = [p for k, p in enumerate(parts) if k not in gone]
-            data = pack(np.concatenate(own)) if own else pack(np.array([], "<u4"))
-        rows.append(("doc", number, row["doc_id"], row["rid"], place, row["n_tokens"], row["sizes"], row["digests"], shared, merkle_root(row["digests"]), None, data))
-        place += row["n_tokens"]
+            own = [ids[ends[k] : ends[k + 1]] for k in range(len(sizes)) if k not in gone]
+            data = pack(np.concatenate(own)) if own else EMPTY
+        rows.append(("doc", number, doc_id, rid, place, n_tokens, sizes, digests, shared, merkle_root(digests), None, data))
+        place += n_tokens
 
     def batch() -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
@@ -235,13 +264,13 @@ def _write_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     for b in batches:
-        for row in b.to_pylist():
-            if row["data"] is not None:
+        for *row, shared, owned in zip(*[b.column(n).to_pylist() for n in ("doc_id", "rid", "n_tokens", "sizes", "digests", "data", "shared", "owned")], strict=True):
+            if row[-1] is not None:
                 if waiting:
                     finish(waiting, [], [])
                 waiting = row
             else:
-                finish(waiting, row["shared"], row["owned"])
+                finish(waiting, shared, owned)
                 waiting = None
         if len(rows) >= 256:
             yield batch()
@@ -279,19 +308,18 @@ def _read_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: dict[str, list[Any]] = {k: [] for k in ("rid", "ids_crc32", "verified", "n_read")}
 
     def finish() -> None:
-        ends = np.cumsum([0, *recipe["sizes"]])
-        own, parts, at = unpack(recipe["data"]), [], 0
-        for k, size in enumerate(recipe["sizes"]):
+        rid, sizes, digests, root, data = recipe
+        own, raw, at = unpack(data).tobytes(), [], 0
+        for k, size in enumerate(sizes):
             if k in chunks:
-                parts.append(unpack(chunks[k]))
+                raw.append(unpack(chunks[k]).tobytes())
             else:
-                parts.append(own[at : at + size])
-                at += size
-        raw = [p.tobytes() for p in parts]
+                raw.append(own[at : at + 4 * size])
+                at += 4 * size
         leaves = [digest(r) for r in raw]
         whole = b"".join(raw)
-        good = leaves == recipe["digests"] and merkle_root(leaves) == recipe["root"] and at == len(own) and len(whole) == 4 * ends[-1]
-        out["rid"].append(recipe["rid"]), out["ids_crc32"].append(zlib.crc32(whole)), out["verified"].append(good), out["n_read"].append(len(whole) // 4)
+        good = leaves == digests and merkle_root(leaves) == root and at == len(own) and len(whole) == 4 * sum(sizes)
+        out["rid"].append(rid), out["ids_crc32"].append(zlib.crc32(whole)), out["verified"].append(good), out["n_read"].append(len(whole) // 4)
 
     def batch() -> pa.RecordBatch:
         got = pa.RecordBatch.from_arrays([pa.array(out["rid"], pa.int64()), pa.array(out["ids_crc32"], pa.int64()), pa.array(out["verified"], pa.bool_()), pa.array(out["n_read"], pa.int64())], names=list(out))
@@ -300,13 +328,13 @@ def _read_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return got
 
     for b in batches:
-        for row in b.to_pylist():
-            if row["sizes"] is not None:
+        for *row, place in zip(*[b.column(n).to_pylist() for n in ("rid", "sizes", "digests", "root", "data", "at")], strict=True):
+            if row[1] is not None:
                 if recipe:
                     finish()
                 recipe, chunks = row, {}
             else:
-                chunks[row["at"]] = row["data"]
+                chunks[place] = row[-1]
         yield batch()
     if recipe:
         finish()
