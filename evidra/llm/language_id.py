@@ -6,7 +6,6 @@ softmax layer. A text's prediction averages the log-probabilities of all its win
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -15,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import one_blas_thread, remainder, sampled, small_batches
 
@@ -22,7 +22,6 @@ WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
 STRIDE = WINDOW - max(WIDTHS) + 1
 #: Bound of the training sample: about so many documents of each label, so many windows of each.
 PER_LABEL, WINDOWS_OF_EACH = 1500, 2
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Windows that go through the filters together.
 BLOCK = 128
@@ -141,12 +140,17 @@ def fit(docs: DataFrame, label: str = "lang", id_column: str = "doc_id", text: s
     return train(x, np.array([labels.index(lab) for lab, _, _ in got]), labels)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (a Unicode category L*); digits, fractions, numerals and marks are none."""
+    return text.isalpha() or any(map(str.isalpha, text))
+
+
 def classify(texts: Sequence[str | None], net: ByteConvNet | None) -> list[tuple[str, float]]:
     """(label, probability) of each whole text; UNKNOWN with 0 for null, letterless or unlearned."""
     out = [(UNKNOWN, 0.0)] * len(texts)
     if net is None:
         return out
-    rows = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
+    rows = [k for k, t in enumerate(texts) if t and has_letter(t)]
     held, count, owners, sums = [], 0, [], np.zeros((len(texts), len(net.labels)))
 
     def flush() -> None:
@@ -179,7 +183,6 @@ def classify(texts: Sequence[str | None], net: ByteConvNet | None) -> list[tuple
 def predict(docs: DataFrame, net: ByteConvNet | None, id_column: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """(id, keep..., lang_pred, score), one row for each row of docs; other columns are not read."""
     small_batches(docs.sparkSession)
-    kinds = [docs.schema[c].dataType.simpleString() for c in (id_column, *keep)]
     names = ["k0", *[f"k{i + 1}" for i in range(len(keep))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +192,8 @@ def predict(docs: DataFrame, net: ByteConvNet | None, id_column: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in got], pa.string()), pa.array([p for _, p in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
     source = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(n) for c, n in zip((id_column, *keep), names, strict=True)])
-    out = source.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)) + ", lang_pred string, score double")
+    schema = T.StructType([f for f in source.schema.fields if f.name != "_text"]).add("lang_pred", "string").add("score", "double")
+    out = source.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, (id_column, *keep), strict=True)], "lang_pred", "score")
 
 
