@@ -2,8 +2,10 @@
 
 A token's score is the lower bound of its toxic/clean log-odds under a Dirichlet prior, or a small negative drift.
 One linear scan finds every maximal segment of a text. Under the clean token distribution the best segment of n
-tokens exceeds S with probability about 1 - exp(-K n exp(-lambda S)); passages below a p-value are significant, and
-a logistic curve over their normalised scores gives the document's probability.
+tokens exceeds S with probability about 1 - exp(-K n exp(-lambda S)); lambda is the root over the scores of the clean
+training tokens, K is fitted to the best segments of the clean training texts. Passages below a p-value are
+significant, and a logistic curve over their normalised scores gives the document's probability. All three are
+measured on texts by weights learned from the other half of the sample, as unseen texts will be.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import remainder, sampled, small_batches, stored, table
 
-#: Bound of the training sample: about so many documents of each label; and of the token table.
-PER_LABEL, VOCABULARY = 8000, 200_000
+#: Bound of the training sample: about so many documents of each label. Whole texts of the sample are used.
+PER_LABEL = 8000
 #: Weight of the Dirichlet prior in documents, and the one-sided bound in standard deviations.
 PRIOR, BOUND = 20.0, 2.33
-DRIFT, SIGNIFICANT, SEARCH_SPACE = 0.1, 0.05, 0.1
+DRIFT, SIGNIFICANT = 0.1, 0.05
 TOKEN = re.compile(r"[^\W_]+")
 STEMS = (3, 4, 5, 6)
+COUNTED = ("clean0", "toxic0", "clean1", "toxic1")
 
 
 def features(token: str) -> Iterator[str]:
@@ -65,8 +68,9 @@ def segments(scores: Sequence[tuple[int, float]], n: int, drift: float) -> list[
 @dataclass
 class ToxicModel:
     weights: dict[str, float]
-    rate: float
-    curve: tuple[float, float, float]
+    rate: float = 1.0
+    space: float = 1.0
+    curve: tuple[float, float, float] = (-2.0, 0.0, 0.0)
     seen: dict[str, float] = field(default_factory=dict, repr=False)
 
     def score(self, token: str) -> float:
@@ -80,16 +84,20 @@ class ToxicModel:
                 self.seen[token] = got
         return got
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """Number of tokens, and the significant passages as (first token, end, normalised score)."""
+    def hits(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
+        """Number of tokens, and the positive ones as (position, score)."""
         tokens = TOKEN.findall((text or "").lower())
         score = self.score
-        hits = [(i, s) for i, t in enumerate(tokens) if (s := score(t)) > 0]
+        return len(tokens), [(i, s) for i, t in enumerate(tokens) if (s := score(t)) > 0]
+
+    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of tokens, and the significant passages as (first token, end, normalised score)."""
+        tokens, hits = self.hits(text)
         if not hits:
-            return len(tokens), []
-        level = math.log(SEARCH_SPACE * len(tokens))
-        found = [(a, b, self.rate * s - level) for a, b, s in segments(hits, len(tokens), DRIFT)]
-        return len(tokens), [x for x in found if -math.expm1(-math.exp(-max(x[2], -30.0))) <= SIGNIFICANT]
+            return tokens, []
+        level = math.log(self.space * tokens)
+        found = [(a, b, self.rate * s - level) for a, b, s in segments(hits, tokens, DRIFT)]
+        return tokens, [x for x in found if -math.expm1(-math.exp(-max(x[2], -30.0))) <= SIGNIFICANT]
 
     def statistics(self, text: str | None) -> tuple[float, float, list[tuple[int, int, float]]]:
         found = self.passages(text)[1]
@@ -101,12 +109,12 @@ class ToxicModel:
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, a + b * best + c * total))))
 
 
-def decay(weights: np.ndarray, shares: np.ndarray, drift: float) -> float:
-    """The positive root lambda of sum p exp(lambda s) = 1 under the clean distribution."""
+def decay(scores: np.ndarray, shares: np.ndarray, drift: float) -> float:
+    """The positive root lambda of sum p exp(lambda s) = 1 where tokens score s with these shares, all others -drift."""
     rest = max(1e-9, 1 - shares.sum())
 
     def over(x: float) -> bool:
-        return float((shares * np.exp(np.minimum(x * weights, 700))).sum()) + rest * math.exp(-x * drift) > 1
+        return float((shares * np.exp(np.minimum(x * scores, 700))).sum()) + rest * math.exp(-x * drift) > 1
 
     low, high = 1e-6, 1.0
     while not over(high) and high < 1e3:
@@ -117,6 +125,13 @@ def decay(weights: np.ndarray, shares: np.ndarray, drift: float) -> float:
     return low
 
 
+def bounds(clean: np.ndarray, toxic: np.ndarray, n_clean: float, n_toxic: float) -> np.ndarray:
+    """Lower bounds of the log-odds of tokens in so many of the clean and toxic documents, under a Dirichlet prior."""
+    alpha = PRIOR * (toxic + clean) / max(1e-9, n_toxic + n_clean) + 1e-12
+    odds = np.log((toxic + alpha) / (n_toxic + PRIOR)) - np.log((clean + alpha) / (n_clean + PRIOR))
+    return odds - BOUND * np.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[float, float, float]:
     """Newton's method with a small ridge: intercept and two slopes."""
     z, beta = np.column_stack([np.ones(len(x)), x]), np.zeros(3)
@@ -140,39 +155,73 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     copy = F.sha2(F.array_join(F.split(F.lower(text), r"[\s\p{Punct}]+"), " "), 256)
     drawn = stored(docs.select(id_column, text).join(F.broadcast(chosen), id_column).select(F.col(text).alias("text"), "_label", copy.alias("copy")), "toxic-sample")
     sizes = drawn.groupBy(F.col("_label").alias("_of"), F.col("copy").alias("_copy")).agg((1.0 / F.count("*")).alias("weight"))
-    texts = drawn.join(sizes, (F.col("_label") == F.col("_of")) & F.col("copy").eqNullSafe(F.col("_copy"))).select("text", "_label", "weight")
+    half = F.pmod(F.xxhash64("copy"), F.lit(2)).cast("int").alias("half")  # copies are in one half
+    texts = stored(drawn.join(sizes, (F.col("_label") == F.col("_of")) & F.col("copy").eqNullSafe(F.col("_copy"))).select("text", "_label", "weight", half), "toxic-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[dict[str, float], dict[str, float]] = (defaultdict(float), defaultdict(float))
+        seen = [defaultdict(float) for _ in range(4)]  # clean and toxic of either half
         for b in batches:
-            for t, y, w in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                own = seen[y > 0]
+            for t, y, w, h in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                own = seen[2 * h + (y > 0)]
                 own[""] += w
                 for f in {f for token in set(TOKEN.findall((t or "").lower())) for f in features(token)}:
                     own[f] += w
-        keys = list(seen[0].keys() | seen[1].keys())
+        keys = list(set().union(*seen))
         columns = [pa.array(keys, pa.string()), *[pa.array([part.get(k, 0.0) for k in keys], pa.float64()) for part in seen]]
-        yield pa.RecordBatch.from_arrays(columns, names=["token", "clean", "toxic"])
-
-    counts = texts.mapInArrow(count, "token string, clean double, toxic double").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n_clean, n_toxic = counts.where("token = ''").select("clean", "toxic").first() or (0, 0)
-    kept = counts.where("token <> '' AND toxic > 1.01").orderBy(F.desc("toxic"), "token").limit(VOCABULARY).collect()
-    if not kept or not n_clean:
-        return ToxicModel({}, 1.0, (-2.0, 0.0, 0.0))
-    toxic, clean = np.array([r["toxic"] for r in kept], float), np.array([r["clean"] for r in kept], float)
-    alpha = PRIOR * (toxic + clean) / (n_toxic + n_clean)
-    odds = np.log((toxic + alpha) / (n_toxic + PRIOR)) - np.log((clean + alpha) / (n_clean + PRIOR))
-    bound = odds - BOUND * np.sqrt(1 / (toxic + alpha) + 1 / (clean + alpha))
-    positive = bound > 0
-    weights = {r["token"]: float(s) for r, s in zip(kept, bound, strict=True) if s > 0}
-    if not weights:
-        return ToxicModel({}, 1.0, (-2.0, 0.0, 0.0))
-    length = 300.0  # tokens of a clean document, for the share of a token among all
-    model = ToxicModel(weights, decay(bound[positive], (clean[positive] + 0.5) / (n_clean + 1) / length / max(1, positive.sum() / 20), DRIFT), (-2.0, 0.0, 0.0))
+        yield pa.RecordBatch.from_arrays(columns, names=["token", *COUNTED])
+
+    counts = texts.mapInArrow(count, "token string, " + ", ".join(f"{c} double" for c in COUNTED)).groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTED])
+    # A token of one toxic document has no positive bound; what is left is bounded by the sample's texts.
+    rows_of = stored(counts, "toxic-counts").where("token = '' OR toxic0 + toxic1 > 1.01").collect()
+    table_of = np.array([[r[c] for c in COUNTED] for r in rows_of if r["token"]], float).reshape(-1, 4)
+    tokens = [r["token"] for r in rows_of if r["token"]]
+    totals = np.array([[r[c] for c in COUNTED] for r in rows_of if not r["token"]] or [[0.0] * 4], float)[0]
+
+    def learned(halves: Sequence[int]) -> ToxicModel:
+        clean, toxic = sum(table_of[:, 2 * h] for h in halves), sum(table_of[:, 2 * h + 1] for h in halves)
+        bound = bounds(clean, toxic, sum(totals[2 * h] for h in halves), sum(totals[2 * h + 1] for h in halves))
+        return ToxicModel({tokens[k]: float(bound[k]) for k in np.flatnonzero(bound > 0)})
+
+    model, others = learned([0, 1]), [learned([1]), learned([0])]  # by half: what the other half teaches
+    if not model.weights or not totals[[0, 2]].sum():
+        return ToxicModel({})
+
+    def clean_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[float, float] = defaultdict(float)
+        for b in batches:
+            for t, _, w, h in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                n, hits = others[h].hits(t)
+                seen[0.0] += w * (n - len(hits))
+                for _, s in hits:
+                    seen[round(s, 2)] += w
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.float64()), pa.array(list(seen.values()), pa.float64())], names=["score", "n"])
+
+    clean_texts = texts.where("_label = 0")
+    met = clean_texts.mapInArrow(clean_scores, "score double, n double").groupBy("score").agg(F.sum("n")).collect()
+    scores, times = np.array([r[0] for r in met]), np.array([r[1] for r in met])
+    model.rate = decay(scores[scores > 0], times[scores > 0] / max(1.0, times.sum()), DRIFT) if (scores > 0).any() else 1.0
+    for m in others:
+        m.rate = model.rate
+
+    def clean_maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of weight and of weight n exp(-lambda S): under the law, each n K exp(-lambda S) is exponential with mean one."""
+        texts_seen = mass = 0.0
+        for b in batches:
+            for t, _, w, h in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                n, hits = others[h].hits(t)
+                if n:
+                    best = max((s for _, _, s in segments(hits, n, DRIFT)), default=0.0)
+                    texts_seen, mass = texts_seen + w, mass + w * n * math.exp(-model.rate * best)
+        yield pa.RecordBatch.from_arrays([pa.array([texts_seen]), pa.array([mass])], names=["texts", "mass"])
+
+    n_texts, mass = clean_texts.mapInArrow(clean_maxima, "texts double, mass double").agg(F.sum("texts"), F.sum("mass")).first()
+    model.space = n_texts / mass if mass else 1.0
+    for m in others:
+        m.space = model.space
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.statistics(t)[:2] for t in b.column(0).to_pylist()]
+            got = [others[h].statistics(t)[:2] for t, h in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.float64()), pa.array([x for _, x in got], pa.float64()), b.column(1)], names=["best", "total", "label"])
 
     measured = sorted(map(tuple, texts.mapInArrow(measure, "best double, total double, label int").collect()))
