@@ -119,6 +119,10 @@ def _one_of(grams: Sequence[str]) -> str:
     return "(?=(" + "|".join(f"{re.escape(a)}(?:{'|'.join(map(re.escape, rest))})" for a, rest in by.items()) + "))"
 
 
+#: Candidate ids (with the names of their rules) that are broadcast; with more, texts are shuffled to them.
+SENT = 200_000
+
+
 def index(docs: DataFrame, rules: Sequence[Rule], id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Postings (gram, id) of the trigrams the rules ask for; one row for each trigram of a text at most."""
     grams = sorted({g for r in rules for c in trigram_query(r.regex) or [] for g in c})
@@ -166,7 +170,9 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "doc_i
     source = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     named = [r for r in rules if trigram_query(r.regex) is not None]
     postings = stored(index(source, named, "_id", "_text"), "secret-postings")
-    chosen = candidates(postings, named)
+    chosen = stored(candidates(postings, named), "secret-candidates")
+    if chosen.count() <= SENT:  # the texts stay where they are
+        chosen = F.broadcast(chosen)
     joined = source.join(chosen, F.col("_id").eqNullSafe(F.col("id")), "left").drop("id")
     empty = F.array().cast("array<struct<start:int,order:int,end:int>>")
     spans = []
@@ -186,9 +192,9 @@ def _listed(found: Column, rules: Sequence[Rule]) -> Column:
 
 def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with every span (overlapping ones merged) replaced by the mark; all columns and rows stay."""
-    others = [c for c in docs.columns if c not in (id_column, text)]
-    hits = scan(docs, rules, id_column, text, [text, *others])
-    body = F.col(text)
+    packed = docs.select(id_column, text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    hits = scan(packed, rules, id_column, text, ["_row"])
+    body = F.col(f"_row.`{text}`")
     step = lambda acc, x: F.when(
         x["end"] <= acc["at"], acc
     ).otherwise(
@@ -198,8 +204,7 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "doc
         )
     )
     done = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    out = hits.withColumn(text, F.when(F.size("found") > 0, done).otherwise(body))
-    return out.select(*docs.columns)
+    return hits.select(*[F.when(F.size("found") > 0, done).otherwise(body).alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:
