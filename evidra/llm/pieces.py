@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -237,7 +238,6 @@ def encode_texts(docs: DataFrame, vocabulary: Pieces, id_column: str = "doc_id",
     small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
     names = [f"k{k}" for k in range(1 + len(keep))]
-    kinds = [docs.schema[c].dataType.simpleString() for c in (id_column, *keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
@@ -257,9 +257,11 @@ def encode_texts(docs: DataFrame, vocabulary: Pieces, id_column: str = "doc_id",
             extra = [pa.array(numbers, pa.list_(pa.int32()))] if ids else []
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *extra, *[pa.array(v, k) for v, k in zip(out.values(), types, strict=True)]], names=[*names, *["piece_ids"] * ids, *out])
 
-    fields = [*[f"{n} {k}" for n, k in zip(names, kinds, strict=True)], *["piece_ids array<int>"] * ids, "n_pieces long", "n_bytes_fallback long", "ids_crc32 long", "score double", "round_trip boolean"]
     source = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(n) for c, n in zip((id_column, *keep), names, strict=True)])
-    got = source.mapInArrow(run, ", ".join(fields))
+    schema = T.StructType([f for f in source.schema.fields if f.name != "_text"])
+    for name, kind in [*[("piece_ids", T.ArrayType(T.IntegerType()))] * ids, ("n_pieces", "long"), ("n_bytes_fallback", "long"), ("ids_crc32", "long"), ("score", "double"), ("round_trip", "boolean")]:
+        schema = schema.add(name, kind)
+    got = source.mapInArrow(run, schema)
     return got.select(*[F.col(n).alias(c) for n, c in zip(names, (id_column, *keep), strict=True)], *got.columns[len(names) :])
 
 
