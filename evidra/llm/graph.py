@@ -1,32 +1,51 @@
-"""Connected components of a link table, by min-label rounds with root hooking and pointer jumping; nothing is gathered in one place."""
+"""Connected components of a link table by contraction: the links shrink every round, nothing is gathered in one place."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
+
+#: Rows of a table of two ids that is broadcast; with more, the lookup is a shuffled join that AQE may split.
+SENT = 500_000
+
+
+def _looked_up(rows: DataFrame, column: str, parents: DataFrame, few: bool) -> DataFrame:
+    """rows with the ids of a column replaced by their parents, where they have one."""
+    to = parents.select(F.col("node").alias("_node"), F.col("parent").alias("_parent"))
+    joined = rows.join(F.broadcast(to) if few else to, F.col(column) == F.col("_node"), "left")
+    return joined.withColumn(column, F.coalesce("_parent", column)).drop("_node", "_parent")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over links (a, b), for every node that has a link.
+    """(node, component): the smallest node reachable over links (a, b), for every node that has a link to another.
 
-    Each round offers the least label of the neighbours to a node and to the node's own label, and then takes the label
-    of that label; so long chains settle in about logarithmic rounds, and rounds go on until nothing changes. A round is
-    written to the shared folder, and only whether a label changed comes to the driver. Repeated links and self-links
-    change nothing.
+    Each round, every node takes its least neighbour for its parent if that is smaller than itself; parents' parents
+    are followed, links are renamed by parents and those within one name go. What is left is contracted again until no
+    link is left, so chains settle in about logarithmic rounds; then the rounds' parents are looked up backwards. Ids
+    that many rows share (hubs, large components) are looked up by broadcast where the table of parents is small. Null
+    ends, repeated links and self-links change nothing.
     """
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct(), "graph-links")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "graph-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("offered")), "b").groupBy("a").agg(F.min("offered").alias("offered"))
-        met = labels.join(near, labels["node"] == near["a"]).select("node", "component", "offered")
-        hooks = met.groupBy(F.col("component").alias("root")).agg(F.min("offered").alias("hooked"))
-        moved = met.join(hooks, met["node"] == hooks["root"], "left").select("node", F.col("component").alias("before"), F.least("component", "offered", "hooked").alias("component"))
-        heads = moved.select(F.col("node").alias("head"), F.col("component").alias("jump"))
-        jumped = moved.join(heads, moved["component"] == heads["head"], "left").select("node", "before", F.least("component", "jump").alias("component"))
-        following = stored(jumped, "graph-labels")
-        changed = following.where("component <> before").limit(1).count()
-        labels = following.select("node", "component")
-        if not changed:
-            return labels
+    ordered = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = stored(ordered(links.select("a", "b")), "graph-links")
+    rounds: list[tuple[DataFrame, bool]] = []
+    while not edges.isEmpty():
+        parents = stored(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")), "graph-parents")
+        few = parents.count() <= SENT
+        for _ in range(2):  # each doubles the way that is followed
+            parents = _looked_up(parents, "parent", parents, few)
+        parents = stored(parents, "graph-parents")
+        rounds.append((parents, few))
+        renamed = stored(ordered(_looked_up(_looked_up(edges, "a", parents, few), "b", parents, few)), "graph-links")
+        forget(edges)
+        edges = renamed
+    if not rounds:
+        return links.select(F.col("a").cast("long").alias("node"), F.col("a").cast("long").alias("component")).limit(0)
+    known, few = rounds[-1]
+    for parents, _ in reversed(rounds[:-1]):
+        known = stored(_looked_up(parents, "parent", known, few).unionByName(known), "graph-labels")
+        few = few and known.count() <= SENT
+    labels = known.select("node", F.col("parent").alias("component"))
+    roots = labels.select("component").distinct()
+    return stored(labels.unionByName(roots.select(F.col("component").alias("node"), "component")), "graph-labels")

@@ -2,39 +2,52 @@
 
 Documents with equal shingle sets are one node. A node's shingles are put in one order for all (common ones last); two
 nodes at the threshold share one of their first shingles. Nodes with the same prefix and size form a group that enters
-the index once; group pairs are filtered by size and position, then expanded and verified on whole sets.
+the index once; group pairs are filtered by size and position, then expanded. A parity sketch of each set bounds the
+difference of two sets from below, so that nearly all pairs left are linked; whole sets verify them.
 
-Classes need no link inside a class twice: a first round verifies nodes against the leaders of the lists they are in; the second enumerates only pairs whose ends are still in different classes, so that every link
-between them is found, and large groups of copies cost no square of their size.
+Classes need no link inside a class twice: a first round verifies each node with its nearest one in a few of the lists
+they share; then all pairs whose ends are still in different classes are enumerated, so that no link between them
+is missed, and large groups of near copies leave rows in proportion to their size. Long lists are dealt out in blocks.
+
+Null, empty and blank texts have no shingles and are alone; texts of any length are taken whole; equal texts are one
+node; rows that repeat an id are documents of their own; an empty table gives no rows; columns of docs that are not
+asked for never enter, and those asked for (``keep``) are renamed on the way.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import scratch, small_batches, stored, words
+from .common import at_least, forget, scratch, small_batches, stored, words
 from .graph import components
 
 #: Shingles put last in the order: the commonest of those met so often among the different texts of one piece of a
 #: partition. They steer cost alone; results do not depend on them.
 COMMON, MET = 1 << 17, 4
 #: Shingles counted together in a partition.
-PIECE = 4_000_000
-#: Lists of more entries than this that still hold several classes go through rounds of a few pairs each, which join
-#: most of a large group of near copies, before all pairs across its classes are looked at.
-CROWDED, STEPS, ROUNDS = 12, (1, 2, 3, 5, 8, 13), 3
-#: Entries of a list compared at once with another such block.
-BLOCK = 512
+PIECE = 1_000_000
+#: Entries of a list looked at together in the round that verifies nearest nodes only, and in the last.
+NEAR_BLOCK, BLOCK = 1024, 4096
+#: Ids that are broadcast; with more, a shuffled join.
+SENT = 500_000
+#: Lists of each node, about, in the first of those.
+PICKED = 8
+#: Rows of a block compared at once with the whole block; lists up to SHORT entries are compared side by side.
+STRIP, SHORT = 256, 16
+#: Bits of a list entry's parity sketch; a node's own sketch has at least as many bits as shingles.
+SKETCH = 512
 
 
 @dataclass(frozen=True)
@@ -66,8 +79,8 @@ _M = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], np.uint6
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 48-bit hashes of the word shingles; a shorter text is one shingle; none without words."""
-    if len(_known) > 400_000:
+    """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle; none without words."""
+    if len(_known) > 200_000:
         _known.clear()
     tokens = words(text)
     n = len(tokens)
@@ -80,30 +93,37 @@ def shingles(text: str | None, width: int) -> np.ndarray:
         h += x[k : n - take + 1 + k] * _M[k + 1]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(h >> np.uint64(16))
+    h ^= h >> np.uint64(32)
+    h.sort()
+    fresh = np.empty(len(h), bool)
+    fresh[0] = True
+    np.not_equal(h[1:], h[:-1], out=fresh[1:])
+    return h[fresh]
 
 
-def node_of(s: np.ndarray) -> int:
-    """A 63-bit name of a shingle set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big") >> 1
+def digest_of(s: np.ndarray) -> bytes:
+    """A 128-bit name of a shingle set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def packed(s: np.ndarray) -> bytes:
-    return np.ascontiguousarray(s, "<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def sketch_of(s: np.ndarray, bits: int = SKETCH) -> bytes:
+    """bits (a power of two), each the parity of the members that fall on it: sets that differ in d members differ in at most d bits."""
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def apart(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ; the halves of a longer one are folded onto each other, which keeps the bound."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    m = min(len(x), len(y))
+    x, y = np.bitwise_xor.reduce(x.reshape(-1, m), axis=0), np.bitwise_xor.reduce(y.reshape(-1, m), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
-def _survey(join: Join):
-    """Rows (kind doc: doc_id, n, node) and (kind common: shingle, met) of whole texts."""
+def _survey(join: Join, schema: pa.Schema):
+    """Rows (kind doc: row, n, digest and the columns kept) and (kind common: shingle, met) of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, amount, texts = [], 0, set()
-        names = ["kind", "doc_id", "n", "node", "shingle", "met"]
+        held, amount, texts, at = [], 0, set(), TaskContext.get().partitionId() << 40
 
         def counted() -> pa.RecordBatch:
             nonlocal held, amount, texts
@@ -111,67 +131,54 @@ def _survey(join: Join):
             often = times >= MET
             k = int(often.sum())
             held, amount, texts = [], 0, set()
-            none = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(["common"] * k, pa.string()), none, pa.nulls(k, pa.int32()), none, pa.array(values[often].astype(np.int64)), pa.array(times[often].astype(np.int64))], names=names)
+            given = {"kind": pa.array(["common"] * k, pa.string()), "shingle": pa.array(values[often].view(np.int64)), "met": pa.array(times[often].astype(np.int64))}
+            return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(k, f.type)) for f in schema], schema=schema)
 
         for b in batches:
-            n, nodes = [], []
-            for t in b.column(1).to_pylist():
+            n, digests = [], []
+            for t in b.column("text").to_pylist():
                 s = shingles(t, join.width)
-                n.append(len(s)), nodes.append(node_of(s))
-                if len(s) and nodes[-1] not in texts:
-                    texts.add(nodes[-1])
+                n.append(len(s)), digests.append(digest_of(s))
+                if len(s) and digests[-1] not in texts:
+                    texts.add(digests[-1])
                     held.append(s)
                     amount += len(s)
+                if amount >= PIECE:
+                    yield counted()
             k = len(n)
-            none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(["doc"] * k, pa.string()), b.column(0), pa.array(n, pa.int32()), pa.array(nodes, pa.int64()), none, none], names=names)
-            if amount >= PIECE:
-                yield counted()
+            given = {"kind": pa.array(["doc"] * k, pa.string()), "row": pa.array(np.arange(at, at + k)), "n": pa.array(n, pa.int32()), "digest": pa.array(digests, pa.binary())}
+            at += k
+            kept = lambda f: b.column(f.name).cast(f.type) if f.name in b.schema.names else pa.nulls(k, f.type)
+            yield pa.RecordBatch.from_arrays([given[f.name] if f.name in given else kept(f) for f in schema], schema=schema)
         yield counted()
 
     return run
 
 
 def _prefixes(join: Join, common: np.ndarray, rank: np.ndarray):
-    """Rows (node, n, group, last, prefix) of whole texts; common is sorted, rank is each one's place from rare to common.
-
-    last orders the ends of prefixes: a smaller one surely ends first, equal ones are not told apart.
-    """
+    """Rows (digest, n, grouped, prefix, sketch, wide) of whole texts; common is sorted, rank is each one's place from rare to common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
-            rows: dict[str, list[Any]] = {"node": [], "n": [], "grouped": [], "last": [], "prefix": []}
+            rows: dict[str, list[Any]] = {"digest": [], "n": [], "grouped": [], "prefix": [], "sketch": [], "wide": []}
             for t in b.column(0).to_pylist():
                 s = shingles(t, join.width)
-                if not len(s):
+                if not len(s) or (name := digest_of(s)) in seen:
                     continue
+                if len(seen) < 200_000:
+                    seen.add(name)
                 at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
                 usual = common[at] == s if len(common) else np.zeros(len(s), bool)
                 p = join.prefix(len(s))
-                head, place = s[~usual][:p], 0
+                head = s[~usual][:p]
                 if len(head) < p:
-                    late, places = s[usual], rank[at[usual]]
-                    order = np.argsort(places)[: p - len(head)]
-                    head, place = np.concatenate([head, late[order]]), int(places[order[-1]]) + 1
-                rows["last"].append(place << 44 | int(head[-1]) >> 4)
-                rows["node"].append(node_of(s)), rows["n"].append(len(s)), rows["prefix"].append(head.astype(np.int64))
-                rows["grouped"].append(node_of(np.append(head, np.uint64(len(s)))))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["node"], pa.int64()), pa.array(rows["n"], pa.int32()), pa.array(rows["grouped"], pa.int64()), pa.array(rows["last"], pa.int64()), pa.array(rows["prefix"], pa.list_(pa.int64()))], names=list(rows))
-
-    return run
-
-
-def _sets(join: Join):
-    """(node, members), each node once in a task: rows that repeat an id and text are in one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            found = {node_of(s): s for t in b.column(0).to_pylist() if len(s := shingles(t, join.width))}
-            fresh = {k: s for k, s in found.items() if k not in seen}
-            seen.update(fresh)
-            yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array([packed(s) for s in fresh.values()], pa.binary())], names=["node", "members"])
+                    late = s[usual]
+                    head = np.concatenate([head, late[np.argsort(rank[at[usual]])[: p - len(head)]]])
+                rows["digest"].append(name), rows["n"].append(len(s)), rows["prefix"].append(head.view(np.int64))
+                rows["grouped"].append(digest_of(np.append(head, np.uint64(len(s))))), rows["sketch"].append(sketch_of(s))
+                rows["wide"].append(sketch_of(s, max(SKETCH, 1 << (len(s) - 1).bit_length())))
+            yield pa.RecordBatch.from_arrays([pa.array(rows["digest"], pa.binary()), pa.array(rows["n"], pa.int32()), pa.array(rows["grouped"], pa.binary()), pa.array(rows["prefix"], pa.list_(pa.int64())), pa.array(rows["sketch"], pa.binary()), pa.array(rows["wide"], pa.binary())], names=list(rows))
 
     return run
 
@@ -180,9 +187,9 @@ def _verify(join: Join):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                both = np.concatenate([unpacked(x), unpacked(y)])
-                both.sort()
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                both = np.concatenate([np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")])
+                both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 good.append(100 * shared >= join.percent * (len(both) - shared))
             keep = pa.array(good, pa.bool_())
@@ -191,226 +198,318 @@ def _verify(join: Join):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(_verify(join), "a long, b long")
-
+def _narrow(join: Join):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, z = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            room = a + z - 2 * join.least_overlap(a.astype(np.int64), z.astype(np.int64))
+            keep = pa.array([apart(x, y) <= most for x, y, most in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), room.tolist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-PAIR = "a long, b long, n_a int, n_b int, at_a int, at_b int, last_a long, last_b long"
+    return run
 
 
-def _across(join: Join):
-    """Sorted list entries (token, n, node, at, most, last, grp, own): pairs that sizes and bounds allow, across classes."""
-    names = [f.split()[0] for f in PAIR.split(", ")]
-    types = [pa.int64() if f.endswith("long") else pa.int32() for f in PAIR.split(", ")]
+def _with_both(pairs: DataFrame, nodes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """pairs (a, b) with columns of the nodes at either end, side by side."""
+    at = lambda end: nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+    return pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").select("a", "b", *[f"{c}_{end}" for c in columns for end in ("a", "b")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            size, node, at, most, last, grp, own = rows.T
-            for i in range(0, len(rows), BLOCK):
-                x = slice(i, i + BLOCK)
-                for j in range(i, len(rows), BLOCK):
-                    y = slice(j, j + BLOCK)
-                    if 100 * size[x][-1] < join.percent * size[y][0]:
-                        break  # sizes ascend
-                    small, large = size[x][:, None], size[y][None, :]
-                    ok = (own[x][:, None] != own[y][None, :]) & (grp[x][:, None] != grp[y][None, :]) & (100 * small >= join.percent * large)
-                    ok &= np.minimum(most[x][:, None], most[y][None, :]) >= join.least_overlap(small, large)
-                    p, q = np.nonzero(np.triu(ok, 1) if i == j else ok)
-                    if len(p):
-                        p, q = p + i, q + j
-                        swap = node[p] > node[q]
-                        p, q = np.where(swap, q, p), np.where(swap, p, q)
-                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((node[p], node[q], size[p], size[q], at[p], at[q], last[p], last[q]), types, strict=True)], names=names)
-
-        rest: np.ndarray | None = None
-        for b in batches:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
-            rows = rows if rest is None else np.concatenate([rest, rows])
-            edges = [0, *(np.flatnonzero(np.diff(rows[:, 0])) + 1).tolist()]
-            for a, z in zip(edges, edges[1:], strict=False):
-                yield from pairs(rows[a:z, 1:])
-            rest = rows[edges[-1] :]
-        if rest is not None and len(rest):
-            yield from pairs(rest[:, 1:])
 
-    return run
+def narrowed(pairs: DataFrame, sketches: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) that the nodes' own sketches (node, n, wide) allow to be linked."""
+    return _with_both(pairs, sketches, ["n", "wide"]).mapInArrow(_narrow(join), "a long, b long")
 
 
-def _some(join: Join, salt: int):
-    """Sorted list entries as for _across: a few pairs of each entry, with those a few steps on in a shuffled order."""
+def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose whole sets (node, members) are linked."""
+    return _with_both(pairs, sets, ["members"]).mapInArrow(_verify(join), "a long, b long")
+
+
+def _compatible(join: Join, r: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of index pairs, those of different classes and groups that sizes, places and sketches allow, with the bits that differ."""
+    ok = (r["own"][p] != r["own"][q]) & (r["grp"][p] != r["grp"][q])
+    p, q = p[ok], q[ok]
+    a, b = r["n"][p], r["n"][q]
+    least = join.least_overlap(a, b)
+    ok = (100 * np.minimum(a, b) >= join.percent * np.maximum(a, b)) & (np.minimum(r["most"][p], r["most"][q]) >= least)
+    p, q, room = p[ok], q[ok], (a + b - 2 * least)[ok]
+    bits = np.bitwise_count(r["sketch"][p] ^ r["sketch"][q]).sum(axis=1, dtype=np.int64)
+    ok = bits <= room
+    return p[ok], q[ok], bits[ok]
+
+
+def _in_list(join: Join, r: dict[str, np.ndarray], a: int, z: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Compatible pairs of one list, a strip of rows with all after it; between two blocks, of one with the other."""
+    first = np.flatnonzero(r["side"][a:z] == 0) + a
+    second = np.flatnonzero(r["side"][a:z] == 1) + a
+    inside = not len(second)
+    for i in range(0, len(first), STRIP):
+        x, y = first[i : i + STRIP], first[i:] if inside else second
+        p, q = np.repeat(x, len(y)), np.tile(y, len(x))
+        if inside:
+            p, q = p[p < q], q[p < q]
+        yield _compatible(join, r, p, q)
+
+
+def _pairs(join: Join, nearest: bool):
+    """Entries sorted by list and block, (token, x, y, side, n, node, most, grp, own, sketch): compatible pairs (a, b, bits).
+
+    With nearest, of each entry the one with the fewest differing bits in its list, and the one with the list's clearest
+    entry: the one whose prefix has the fewest shingles of its own, which the copies of one text are nearest to. Each
+    pair once in a task, but for what many pairs ago was passed on.
+    """
+    names = ["token", "x", "y", "side", "n", "node", "most", "grp", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            rows = rows[np.argsort(rows[:, 1].view(np.uint64) * _M[1 + salt], kind="stable")]
-            size, node, _, most, _, grp, own = rows.T
-            for step in STEPS:
-                x, y = slice(0, max(0, len(rows) - step)), slice(step, len(rows))
-                small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-                ok = (own[x] != own[y]) & (grp[x] != grp[y]) & (100 * small >= join.percent * large) & (np.minimum(most[x], most[y]) >= join.least_overlap(small, large))
-                a, b = node[x][ok], node[y][ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        rest: np.ndarray | None = None
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def emit() -> pa.RecordBatch:
+            a, b, bits = (np.concatenate(c) for c in zip(*waiting, strict=True)) if waiting else (np.zeros(0, np.int64),) * 3
+            waiting.clear()
+            order = np.lexsort((b, a))
+            a, b, bits = a[order], b[order], bits[order]
+            fresh = np.ones(len(a), bool)
+            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(v[fresh]) for v in (a, b, bits)], names=["a", "b", "bits"])
+
+        def found(r: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, bits: np.ndarray) -> None:
+            a, b = r["node"][p], r["node"][q]
+            waiting.append((np.minimum(a, b), np.maximum(a, b), bits))
+
+        def take(r: dict[str, np.ndarray]) -> None:
+            """All whole lists of r."""
+            new = np.ones(len(r["token"]), bool)
+            new[1:] = (r["token"][1:] != r["token"][:-1]) | (r["x"][1:] != r["x"][:-1]) | (r["y"][1:] != r["y"][:-1])
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(new))
+            long = (ends - starts > SHORT) | (r["x"][starts] != r["y"][starts])
+            which = np.cumsum(new) - 1
+            got = []
+            for step in range(1, SHORT):
+                p = np.flatnonzero((which[step:] == which[:-step]) & ~long[which[step:]])
+                if not len(p):
+                    break
+                got.append(_compatible(join, r, p, p + step))
+            for k in np.flatnonzero(long).tolist():
+                for part in _in_list(join, r, int(starts[k]), int(ends[k])):
+                    if nearest:
+                        got.append(part)
+                    elif len(part[0]):
+                        found(r, *part)
+            if not got:
+                return
+            p, q, bits = (np.concatenate(c) for c in zip(*got, strict=True))
+            if nearest:
+                order = np.lexsort((-r["most"] / r["n"], which))
+                lead = order[starts][which]
+                to_lead = np.flatnonzero((p == lead[p]) | (q == lead[q]))
+                ends_of, pair = np.concatenate([p, q]), np.tile(np.arange(len(p)), 2)
+                order = np.lexsort((np.tile(bits, 2), ends_of))
+                _, firsts = np.unique(ends_of[order], return_index=True)
+                chosen = np.union1d(pair[order[firsts]], to_lead)
+                p, q, bits = p[chosen], q[chosen], bits[chosen]
+            found(r, p, q, bits)
+
+        rest: dict[str, np.ndarray] | None = None
         for b in batches:
-            rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
-            rows = rows if rest is None else np.concatenate([rest, rows])
-            edges = [0, *(np.flatnonzero(np.diff(rows[:, 0])) + 1).tolist()]
-            for i, j in zip(edges, edges[1:], strict=False):
-                yield from pairs(np.ascontiguousarray(rows[i:j, 1:]))
-            rest = rows[edges[-1] :]
-        if rest is not None and len(rest):
-            yield from pairs(np.ascontiguousarray(rest[:, 1:]))
+            r = {name: b.column(name).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for name in names}
+            r["sketch"] = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+            if rest is not None:
+                r = {name: np.concatenate([rest[name], v]) for name, v in r.items()}
+            last = (r["token"] == r["token"][-1]) & (r["x"] == r["x"][-1]) & (r["y"] == r["y"][-1]) if len(r["token"]) else np.zeros(0, bool)
+            cut = int(np.argmax(last)) if len(last) else 0
+            if cut:
+                take({name: v[:cut] for name, v in r.items()})
+            rest = {name: v[cut:] for name, v in r.items()}
+            if sum(len(w[0]) for w in waiting) >= 200_000:
+                yield emit()
+        if rest is not None and len(rest["token"]):
+            take(rest)
+        yield emit()
 
     return run
 
 
-def possible(met: DataFrame, join: Join) -> DataFrame:
-    """Of pairs (PAIR, a row for each shared prefix shingle), those (a, b) whose sets can still be linked.
+#: Ids of which a Bloom filter is sent to the scan; with more, texts are shuffled to the join instead.
+FILTERED = 4_000_000
+NO_ID = -(1 << 63)
 
-    With k shared shingles, the last at positions i and j, the sets share at most k and what follows there. And the
-    set whose prefix ends first in the order lacks a partner for all of its prefix but those k.
-    """
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("k"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "at_a", "at_b", "last_a", "last_b")])
-    n_a, n_b, k = F.col("n_a"), F.col("n_b"), F.col("k")
-    least = join.least_overlap(n_a, n_b)
-    rest = lambda n: k + F.floor((n * join.percent + 99) / 100) - 1
-    ends = F.when(F.col("last_a") < F.col("last_b"), rest(n_a)).when(F.col("last_b") < F.col("last_a"), rest(n_b)).otherwise(least)
-    return pairs.where((k + F.least(n_a - 1 - F.col("at_a"), n_b - 1 - F.col("at_b")) >= least) & (ends >= least)).select("a", "b")
 
+def _places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    h = keys.view(np.uint64) * _M[1]
+    h ^= h >> np.uint64(32)
+    h *= _M[2]
+    for k in range(5):
+        yield ((h >> np.uint64(8)) + np.uint64(k) * ((h >> np.uint64(36)) | np.uint64(1))) & np.uint64(bits - 1)
 
-#: Ids of which a Bloom filter is sent to the scan; with more, all texts are shuffled to the join instead.
-FILTERED = 800_000
-NO_ID = -(1 << 63)
 
+def _keys(column: Any) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
-def _maybe(ids: DataFrame) -> Any:
-    """A Bloom filter of the column key as a predicate on a key column, or None if it would be too large."""
-    n = ids.limit(FILTERED + 1).count()
-    if n > FILTERED:
-        return None
-    bits = 1 << max(13, (12 * max(n, 1)).bit_length())
 
-    def places(keys: np.ndarray) -> list[np.ndarray]:
-        h = keys.astype(np.int64).view(np.uint64) * _M[1]
-        h ^= h >> np.uint64(32)
-        h *= _M[2]
-        return [((h >> np.uint64(8)) + np.uint64(k) * ((h >> np.uint64(36)) | np.uint64(1))) % np.uint64(bits) for k in range(5)]
+def _bloom(ids: DataFrame, n: int) -> tuple[Any, int]:
+    """A broadcast Bloom filter of the column key, 12 to 24 bits a key; the partial filters are united in the tasks of a tree."""
+    bits = 1 << max(13, (12 * max(n, 1)).bit_length())
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
+        own = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            for at in places(b.column(0).to_numpy(zero_copy_only=False)):
-                own[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
+            for at in _places(_keys(b.column(0)), bits):
+                np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["bits"])
 
-    held = np.zeros(bits, bool)
+    held = np.zeros(bits // 8, np.uint8)
     for r in ids.coalesce(4).mapInArrow(fill, "bits binary").toLocalIterator():
-        held |= np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-    shared = ids.sparkSession.sparkContext.broadcast(np.packbits(held).tobytes())
+        held |= np.frombuffer(r["bits"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(held.tobytes()), bits
 
-    @F.pandas_udf("boolean")
-    def maybe(keys: pd.Series) -> pd.Series:
-        table = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        values = keys.to_numpy()
-        return pd.Series(np.logical_and.reduce([table[at] for at in places(values)]))
 
-    return maybe
+def _sets(join: Join, bloom: Any, bits: int):
+    """(node, members) of the rows (key, text) that pass the filter, each set once in a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        held = np.frombuffer(bloom.value, np.uint8) if bloom else None
+        for b in batches:
+            if held is not None and b.num_rows:
+                good = np.ones(b.num_rows, bool)
+                for at in _places(_keys(b.column(0)), bits):
+                    good &= (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                b = b.filter(pa.array(good))
+            names, members = [], []
+            for t in b.column(1).to_pylist():
+                s = shingles(t, join.width)
+                name = digest_of(s)
+                if len(s) and name not in seen:
+                    if len(seen) < 200_000:
+                        seen.add(name)
+                    names.append(name), members.append(s.astype("<u8", copy=False).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(members, pa.binary())], names=["digest", "members"])
+
+    return run
 
-def sets_of(source: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """(node, members) of the nodes in pairs, from the one text of each with the smallest id."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(asked.join(nodes, "node").select(F.coalesce("least", F.lit(NO_ID)).alias("key")).distinct(), "jaccard-wanted")
+
+def sets_of(source: DataFrame, asked: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """(node, members) of the nodes asked for, each from the texts with its smallest id."""
+    wanted = stored(asked.join(nodes, "node").select("node", "digest", F.coalesce("least", F.lit(NO_ID)).alias("key")), "jaccard-wanted")
     keyed = source.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text")
-    if maybe := _maybe(wanted):
-        keyed = keyed.where(maybe("key"))
-    return stored(keyed.join(wanted, "key", "left_semi").select("text").mapInArrow(_sets(join), "node long, members binary"), "jaccard-sets", compression="none")
+    n = wanted.count()
+    bloom, bits = _bloom(wanted.select("key"), n) if n <= FILTERED else (None, 0)
+    if not bloom:
+        keyed = keyed.join(wanted.select("key").distinct(), "key", "left_semi")
+    found = keyed.mapInArrow(_sets(join, bloom, bits), "digest binary, members binary")
+    out = stored(found.join(wanted.select("node", "digest"), "digest").select("node", "members"), "jaccard-sets", compression="none")
+    forget(wanted)
+    return out
 
 
-def classes(docs: DataFrame, join: Join = Join(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of docs.
+def classed_rows(docs: DataFrame, join: Join = Join(), text: str = "text", id_column: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id, *keep), one row for each row of docs.
 
     component_id is the smallest id of a class; a text without words is alone. Rows with a null id take part and have
-    the class's smallest id (null if none has one). Equal texts are one node, so repeats cost nothing. Hash equality
-    stands for shingle equality (48 bits, compared within a pair only).
+    the class's smallest id (null if none has one). class_id numbers the classes of this run, null without words; it
+    tells classes apart where ids repeat. Equal texts are one node, so repeats cost nothing. Hash equality stands for
+    shingle equality (64 bits, compared within a pair only) and for set equality (128 bits).
     """
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
+    others = [f for f in source.schema.fields if f.name != "text"]
+    schema = T.StructType().add("kind", "string").add("row", "long").add("n", "integer").add("digest", "binary").add("shingle", "long").add("met", "long")
+    schema = T.StructType([*schema.fields, *[T.StructField(f.name, f.dataType) for f in others]])
     path = scratch(spark, "jaccard-survey")
-    schema = "kind string, doc_id long, n int, node long, shingle long, met long"
-    source.mapInArrow(_survey(join), schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    source.mapInArrow(_survey(join, to_arrow_schema(schema)), schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     survey = spark.read.schema(schema).parquet(path)
-    listed = survey.where("kind = 'doc'").select("doc_id", "n", "node")
-    often = survey.where("kind = 'common'").groupBy("shingle").agg(F.sum("met").alias("met")).orderBy(F.desc("met"), "shingle").limit(COMMON).collect()
-    by_value = sorted((r["shingle"], r["met"]) for r in often)
-    common = np.array([s for s, _ in by_value], np.uint64)
-    rank = np.empty(len(by_value), np.int64)  # place in the order by how often met, then by hash
-    rank[np.lexsort((common, [m for _, m in by_value]))] = np.arange(len(by_value))
-    nodes = stored(listed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")), "jaccard-nodes")
-
-    prefixes = source.select("text").mapInArrow(_prefixes(join, common, rank), "node long, n int, grouped long, last long, prefix array<long>").dropDuplicates(["node"])
-    prefixes = stored(prefixes, "jaccard-prefixes")
-    members = prefixes.select("grouped", "node")
-    groups = stored(prefixes.groupBy("grouped").agg(F.min("node").alias("node"), F.min("n").alias("n"), F.min("last").alias("last"), F.count("*").alias("held")), "jaccard-groups")
-    index = prefixes.join(groups.select("node"), "node", "left_semi").select("grouped", "n", "last", F.posexplode("prefix").alias("at", "token"))
-    counted = index.groupBy("token").count().where("count > 1").select("token")
+    listed = survey.where("kind = 'doc'").select("row", "n", "digest", *[f.name for f in others])
+    often = at_least(survey.where("kind = 'common'").groupBy("shingle").agg(F.sum("met").alias("met")), "met", COMMON).collect()
+    values, met = np.array([r["shingle"] for r in often], np.int64).view(np.uint64), np.array([r["met"] for r in often], np.int64)
+    by_value = np.argsort(values)
+    common, met = values[by_value], met[by_value]
+    rank = np.empty(len(common), np.int64)  # place in the order by how often met, then by hash
+    rank[np.lexsort((common, met))] = np.arange(len(common))
+    nodes = stored(listed.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "jaccard-nodes")
+
+    found = source.select("text").mapInArrow(_prefixes(join, common, rank), "digest binary, n int, grouped binary, prefix array<long>, sketch binary, wide binary")
+    prefixes = stored(found.dropDuplicates(["digest"]).join(nodes.select("digest", "node"), "digest").drop("digest"), "jaccard-prefixes")
+    groups = stored(prefixes.groupBy("grouped").agg(F.min("node").alias("grp"), F.count("*").alias("held")), "jaccard-groups")
+    others = stored(prefixes.select("grouped", "node").join(groups.where("held > 1"), "grouped").where("node <> grp").select("node"), "jaccard-others")
+    others = F.broadcast(others) if others.count() <= SENT else others
+    index = prefixes.join(others, "node", "left_anti").select(F.col("node").alias("grp"), "n", F.posexplode("prefix").alias("at", "token"))
+    counted = index.groupBy("token").count().where("count > 1").select("token").hint("merge")  # grows with the input: not to be broadcast; AQE may split the join
 
     # Prefix shingles in no other prefix are in no partner that shares a later one: "most" bounds the intersection.
     # The smaller of a linked pair lacks few, so an entry matters only near the sizes of entries that can be the smaller.
     n = F.col("n")
-    before = F.row_number().over(Window.partitionBy("grouped").orderBy("at")) - 1
+    before = F.row_number().over(Window.partitionBy("grp").orderBy("at")) - 1
     live = stored(index.join(counted, "token").withColumn("most", n - (F.col("at") - before)), "jaccard-index")
     strong = F.when(F.col("most") >= join.least_overlap(n, n), n)
     near = live.groupBy("token").agg(F.min(strong).alias("low"), F.max(strong).alias("high"), F.count("*").alias("size")).where("low IS NOT NULL AND size > 1")
     chosen = live.join(near, "token").where((100 * n >= join.percent * F.col("low")) & (100 * F.col("high") >= join.percent * n))
-    entries = chosen.join(members, "grouped").select("token", "n", "node", "at", "most", "last", F.col("grouped").alias("grp"))
-    crowd = members.join(groups.where("held > 1").select("grouped", "n", "last"), "grouped")
-    inside = crowd.select(F.col("grouped").alias("token"), "n", "node", F.lit(0).alias("at"), n.alias("most"), "last", F.col("node").alias("grp"))
-    entries = stored(entries.unionByName(inside), "jaccard-entries")
-
-    leaders = entries.groupBy("token").agg(F.min(F.struct("node", "n", "at", "most", "last", "grp")).alias("lead"))
-    small, large = F.least(n, F.col("lead.n")), F.greatest(n, F.col("lead.n"))
-    allowed = (F.col("node") != F.col("lead.node")) & (F.col("grp") != F.col("lead.grp")) & (100 * small >= join.percent * large) & (F.least("most", "lead.most") >= join.least_overlap(small, large))
-    star = entries.join(leaders, "token").where(allowed).select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("n_a"), n.alias("n_b"), F.col("lead.at").alias("at_a"), F.col("at").alias("at_b"), F.col("lead.last").alias("last_a"), F.col("last").alias("last_b"))
-    first = stored(possible(star, join), "jaccard-star")
-    links = stored(verified(first, sets_of(source, first, nodes, join), join), "jaccard-links")
-    labels, tried = components(links), first
-    columns = ["token", "n", "node", "at", "most", "last", "grp", "own"]
-
-    def open_entries(least: int) -> DataFrame:
-        named = entries.join(labels, "node", "left").withColumn("own", F.coalesce("component", "node")).select(*columns)
-        lists = named.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("held")).where(F.expr(f"lo < hi AND held > {least}")).select("token")
-        return named.join(lists, "token").repartition("token").sortWithinPartitions("token", "n", "node").select(*columns)
-
-    for salt in range(ROUNDS):
-        few = open_entries(CROWDED).mapInArrow(_some(join, salt), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-        few = stored(few, "jaccard-some")
-        if few.isEmpty():
-            break
-        fresh = stored(verified(few, sets_of(source, few, nodes, join), join), "jaccard-links")
-        if fresh.isEmpty():
-            break
-        links, tried = links.unionByName(fresh), tried.unionByName(few)
-        labels = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
-    across = open_entries(1)
-    met = across.mapInArrow(_across(join), PAIR)
-    second = stored(possible(met, join).join(tried, ["a", "b"], "left_anti"), "jaccard-across")
-    more = verified(second, sets_of(source, second, nodes, join), join)
-    edges = links.unionByName(more).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    final = components(edges)
-
-    named_nodes = nodes.join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    smallest = named_nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    out = named_nodes.join(smallest, "component").select("node", "component_id")
-    alone = listed.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return listed.where("n > 0").join(out, "node").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(alone)
+    members = prefixes.join(groups, "grouped").select("grp", "node", "n", "held")
+    # Lists of a first round: about PICKED for each node, the same for nodes alike, by the token's hash and the prefix's length.
+    length = n - F.floor((join.percent * n + 99) / 100) + 1
+    among = F.greatest(F.lit(PICKED), F.pow(2, F.ceil(F.log2(length.cast("double")))).cast("int"))
+    expanded = chosen.select("token", "grp", "most").join(members.select("grp", "node", "n"), "grp").select("token", "n", "node", "most", "grp", (F.pmod(F.xxhash64("token"), among) < PICKED).alias("picked"))
+    inside = members.where("held > 1").select(F.col("grp").alias("token"), "n", "node", n.alias("most"), F.col("node").alias("grp"), F.lit(True).alias("picked"))
+    entries = stored(expanded.unionByName(inside), "jaccard-entries")
+    sketches = prefixes.select("node", "sketch")
+    forget(live, groups)
+
+    def open_lists(entries: DataFrame, labels: DataFrame | None, block: int, all_blocks: bool) -> DataFrame:
+        """Entries of lists that hold several classes, in blocks; with all_blocks, each block meets every other one."""
+        known = sketches.withColumn("own", F.col("node")) if labels is None else sketches.join(labels, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("own"))
+        named = entries.join(known, "node")
+        clearest = F.max_by("node", F.col("most") / F.col("n")).alias("clearest")
+        lists = named.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("held"), clearest).where("lo < hi")
+        dealt = named.join(lists, "token").withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
+        dealt = dealt.withColumn("at", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        if all_blocks:
+            dealt = dealt.withColumn("other", F.explode(every))
+            dealt = dealt.withColumn("x", F.least("at", "other")).withColumn("y", F.greatest("at", "other")).withColumn("side", (F.col("at") != F.col("x")).cast("int"))
+        else:
+            dealt = dealt.withColumn("x", F.explode(F.when(F.col("node") == F.col("clearest"), every).otherwise(F.array("at")))).withColumn("y", F.col("x")).withColumn("side", F.lit(0))
+        columns = ["token", "x", "y", "side", "n", "node", "most", "grp", "own", "sketch"]
+        return dealt.select(*columns).repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+
+    wide = prefixes.select("node", "n", "wide")
+
+    def linked(pairs: DataFrame) -> DataFrame | None:
+        """The links among pairs (a, b), None without any candidates."""
+        close = stored(narrowed(pairs, wide, join), "jaccard-close")
+        if close.isEmpty():
+            return None
+        sets = sets_of(source, close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, join)
+        good = stored(verified(close, sets, join), "jaccard-links")
+        forget(close, sets)
+        return good
+
+    pair = "a long, b long, bits long"
+    near = open_lists(entries.where("picked"), None, NEAR_BLOCK, False).mapInArrow(_pairs(join, True), pair)
+    first = stored(near.select("a", "b").distinct(), "jaccard-nearest")
+    links = linked(first)
+    labels = None if links is None else components(links)
+
+    pairs = open_lists(entries, labels, BLOCK, True).mapInArrow(_pairs(join, False), pair)
+    more = linked(stored(pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "jaccard-across"))
+    if more is not None:
+        known = more if labels is None else more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = components(known)
+
+    named = nodes.withColumn("component", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = named.join(smallest, "component").select("digest", "component_id", F.col("component").alias("class_id"))
+    kept = [F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)]
+    size = F.col("n").cast("long").alias("n_shingles")
+    alone = listed.where("n = 0").select("doc_id", size, F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), *kept)
+    return listed.where("n > 0").join(out, "digest").select("doc_id", size, "component_id", "class_id", *kept).unionByName(alone)
+
+
+def classes(docs: DataFrame, join: Join = Join(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of docs; see classed_rows."""
+    return classed_rows(docs, join, text, id_column).select("doc_id", "n_shingles", "component_id")
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; see classed_rows for nulls, ties, repeats and empty tables."""
     return classes(docs)
-
