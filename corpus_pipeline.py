@@ -17,17 +17,31 @@ LEAST_CLEAR = 0.35
 NEAR = jaccard_join.Join(width=5, percent=80)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row as one column, so that no column of docs can clash with an operator's own."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters or a clear language (null and empty ones too); the model learns from docs' lang."""
-    found = language_id.predict(docs, language_id.fit(docs), keep=[c for c in docs.columns if c != "doc_id"])
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CLEAR)).select(*docs.columns)
+    found = language_id.predict(packed(docs), language_id.fit(docs), keep=["_row"])
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CLEAR)).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class; of rows alike in id and text, one. Wordless texts stay."""
-    classes = jaccard_join.classes(docs, NEAR)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Keeps one row of each class: the one with the smallest id (null last), and of equal ids by the text's digest.
+
+    Classes are decided by row, so rows that repeat an id with other texts stay or go by their own class. Of rows alike
+    in id and text one stays, also where the text has no words; other wordless texts stay.
+    """
+    named = docs.select("doc_id", "text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_mark"))
+    classes = jaccard_join.classed_rows(named, NEAR, keep=["_mark"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_mark")).alias("first")
+    kept = classes.where("class_id IS NOT NULL").groupBy("class_id").agg(first).select(F.col("first.doc_id").alias("_kept"), F.col("first._mark").alias("_kept_mark"))
+    alone = classes.where("class_id IS NULL").select(F.col("doc_id").alias("_kept"), F.col("_mark").alias("_kept_mark")).distinct()
+    marked = docs.withColumn("_mark", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    chosen = marked.join(kept.unionByName(alone), F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "_mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +55,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents with their piece ids, counts and the verdict of decoding them again."""
-    return pieces.encode_texts(docs, pieces.vocabulary(), keep=[c for c in docs.columns if c != "doc_id"], ids=True)
+    """The mixed documents with their piece ids, counts and the verdict of decoding them again.
+
+    A column of docs that has the name of one of those gives way to it.
+    """
+    out = pieces.encode_texts(packed(docs), pieces.vocabulary(), keep=["_row"], ids=True)
+    new = [c for c in out.columns if c not in ("doc_id", "_row")]
+    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in new], *new)
 
 
 STAGES = [
