@@ -62,6 +62,12 @@ def number_tokens(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"[,\s]", "")))
 
 
+def bare_numbers(c: Column) -> Column:
+    """Distinct normal forms of the numbers that do not follow a letter or digit: of A4 and 97,000.00 only 97000."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?<![A-Za-z0-9])\d[\d,]*(?:\.\d+)?"), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(found, normal_number), lambda x: x != ""))
+
+
 def answer_numbers(c: Column) -> Column:
     """Numbers with a unit or percent; if there are none, bare ones other than years from 1900 to 2100 and single digits."""
     text = F.coalesce(c, F.lit(""))
@@ -73,7 +79,11 @@ def answer_numbers(c: Column) -> Column:
 
 
 def number_units(c: Column) -> Column:
-    """Distinct 'number unit' pairs of a text."""
+    """Distinct 'number unit' pairs of a text, units behind the number in any case, USD also before it."""
     text = F.coalesce(c, F.lit(""))
-    pattern = F.lit(rf"(\d[\d,]*(?:\.\d+)?)\s*({'|'.join(NUMERIC_UNITS)})")
-    return F.array_distinct(F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda n, u: F.concat_ws(" ", normal_number(n), u)))
+    units = "|".join(sorted(NUMERIC_UNITS, key=len, reverse=True))
+    behind, before = F.lit(rf"(?i)(\d[\d,]*(?:\.\d+)?)\s*({units})"), F.lit(r"(?i)\bUSD\s*(\d[\d,]*(?:\.\d+)?)")
+    unit = lambda u: F.when(F.upper(u) == "USD", "USD").otherwise(u)
+    pairs = F.zip_with(F.regexp_extract_all(text, behind, F.lit(1)), F.regexp_extract_all(text, behind, F.lit(2)), lambda n, u: F.concat_ws(" ", normal_number(n), unit(u)))
+    dollars = F.transform(F.regexp_extract_all(text, before, F.lit(1)), lambda n: F.concat_ws(" ", normal_number(n), F.lit("USD")))
+    return F.array_distinct(F.concat(pairs, dollars))

@@ -61,6 +61,11 @@ def tokens(c: Column | str, least: int = 2) -> Column:
     return F.array_distinct(F.filter(found, lambda t: F.length(t) >= least))
 
 
+def dense_key(c: Column | str) -> Column:
+    """Lowered, without blanks and separators, so that spaced and unspaced forms of a term meet."""
+    return F.regexp_replace(F.lower(_text(c)), r"[\s\-_()/\[\]{}]+", "")
+
+
 def field_name(c: Column | str) -> Column:
     """Without leading bullets or numbering."""
     return clean(F.regexp_replace(_text(c), r"^[\s\-*•※▶■□○●]*(?:\(?\d{1,2}[.)]\s*)?", ""))

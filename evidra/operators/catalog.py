@@ -131,7 +131,13 @@ def chain_counts(df: DataFrame, chain: str, least: int = 2) -> DataFrame:
 
 
 def enrich(records: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
-    """Left outer join; a record's own values win, the manifest fills what is null."""
+    """Left outer join; a record's own values win, the manifest fills what is null. Of a repeated key the last row wins.
+
+    Rows of the manifest have no order of their own in a table, so the last is the largest by its columns in turn.
+    """
+    rest = [c for c in manifest.columns if c != key]
+    if rest:
+        manifest = manifest.groupBy(key).agg(F.max(F.struct(*rest)).alias("_last")).select(key, "_last.*")
     added = manifest.select(*[F.col(c).alias(c if c == key else f"_m_{c}") for c in manifest.columns])
     joined = records.join(added, key, "left")
     columns = [F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) if c != key and c in manifest.columns else F.col(c) for c in records.columns]

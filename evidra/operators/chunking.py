@@ -330,9 +330,16 @@ def islands(rows: DataFrame, keys: Sequence[str], order: str, value: str, text:
     return marked.groupBy(*keys, "island", value).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]).alias("texts"))
 
 
-def search_priority(text: Column, kind: Column) -> Column:
-    numbers = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\d[\d,.]*"))
-    return F.when(F.length(text) < 80, "low").when(kind == "financial", "high").when(numbers >= 3, "medium").otherwise("low")
-
-
+def search_priority(text: Column, kind: Column, title: Column | None = None) -> Column:
+    """high, medium or low: by the kind of table first, then by numbers, length and title of general ones."""
+    body = F.coalesce(text, F.lit(""))
+    numbers = F.regexp_count(body, F.lit(r"\d[\d,.]*"))
+    plain = F.when(numbers >= 3, "medium").when(F.length(body) < 80, "low")
+    if title is not None:
+        plain = plain.when(F.trim(title).isin(*LOW_VALUE_TITLES), "low")
+    return F.when(kind.isin("financial_table", "business_table"), "high").when(kind == "governance_table", "medium").when(kind == "document_admin", "low").otherwise(plain.otherwise("medium"))
+
+
+#: Titles of tables without content.
+LOW_VALUE_TITLES = ("목 차", "목차")
 GRID = T.ArrayType(T.ArrayType(T.StringType()))

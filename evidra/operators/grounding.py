@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..functions import text as T
 
 #: The answer given without evidence, wordings that mean the same, and how long such an answer may be.
 INSUFFICIENT = "제공된 공시 근거만으로 답변을 확정할 수 없습니다."
@@ -44,11 +45,17 @@ def term_coverage(text: Column, terms: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(terms, lambda t: F.contains(low, F.lower(t)))).cast("double"), F.size(terms)), F.lit(0.0))
 
 
-def unexplained_calculation(question: Column, answer: Column, evidence: Column) -> Column:
-    """A calculation was asked for, but the answer is one number of the evidence without any sign of calculating."""
+#: Fixed value: the task type of calculations.
+CALCULATION_TASK = "계산"
+
+
+def unexplained_calculation(question: Column, answer: Column, evidence: Column, task: Column | None = None) -> Column:
+    """A calculation was asked for, by the task's type or the question's words, but the answer is one number of the evidence without any sign of calculating."""
     some = lambda text, parts: F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(text, p))
     numbers = N.number_tokens(answer)
-    return some(question, CALCULATION_ASKED) & ~some(answer, CALCULATION_SHOWN) & (F.size(numbers) == 1) & (F.size(F.array_except(numbers, N.number_tokens(evidence))) == 0)
+    asked = some(question, CALCULATION_ASKED)
+    asked = asked if task is None else asked | F.coalesce(task == CALCULATION_TASK, F.lit(False))
+    return asked & ~some(answer, CALCULATION_SHOWN) & (F.size(numbers) == 1) & (F.size(F.array_except(numbers, N.number_tokens(evidence))) == 0)
 
 
 def evidence_lines(rows: DataFrame, keys: Sequence[str], text: str, numbers: str, terms: str, most: int = 5) -> DataFrame:
@@ -109,3 +116,15 @@ def qa_reason(rows: DataFrame, question: str, answer: str, evidence: str, task:
     reason = F.when(blank(question) | blank(answer), "missing_field").when(F.col("_n") > 1, "duplicate_question").when(blank(evidence), "no_evidence")
     reason = reason.when(F.col(task).isin(*comparing) & (F.col(documents) < 2), "too_few_documents").otherwise("ok")
     return marked.withColumn("reason", reason).drop("_key", "_n")
+
+
+def topics_covered(evidence: Column, terms: Column) -> Column:
+    """Whether the evidence names at least one of the question's terms, blanks and separators ignored; true without terms."""
+    text = T.dense_key(evidence)
+    kept = F.filter(F.transform(terms, T.dense_key), lambda t: t != "")
+    return (F.length(text) > 0) & ((F.size(kept) == 0) | F.exists(kept, lambda t: F.contains(text, t)))
+
+
+def context_block(number: Column, title: Column, text: Column) -> Column:
+    """One numbered source of a context: its number and title on a line, then its text."""
+    return F.concat(F.lit("["), number.cast("string"), F.lit("] "), F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))

@@ -20,6 +20,8 @@ QUERY_WEIGHT, KEYWORD_WEIGHT = 0.8, 0.2
 LEAST_QUERY, NEAR_BEST_QUERY, NEAR_BEST_FINAL = 0.55, 0.85, 0.90
 #: Chunks by query and by keyword, and kept per document and request.
 DENSE, KEYWORD, KEPT = 24, 12, 10
+#: Units that mark a text as evidence.
+EVIDENCE_UNITS = ("백만원", "억원", "천원", "원", "%", "명", "주")
 #: Vectors of questions of at most so many rows are broadcast to the chunks.
 FEW_QUESTIONS = 10_000
 
@@ -52,9 +54,10 @@ def search(chunks: DataFrame, questions: DataFrame, keys: Sequence[str], k: int,
     The filter comes before the ranking, so no candidate is lost to it. With ``per``, k chunks for each of its values.
     """
     few = questions.limit(FEW_QUESTIONS + 1).count() <= FEW_QUESTIONS
+    questions, chunks = questions.withColumn(query_vector, unit(F.col(query_vector))), chunks.withColumn(vector, unit(F.col(vector)))  # once a row, not once a pair
     side = F.broadcast(questions) if few else questions
     joined = chunks.join(side, list(keys)) if keys else chunks.crossJoin(side)
-    score = F.round(dot(unit(F.col(vector)), unit(F.col(query_vector))), 6)
+    score = F.round(dot(F.col(vector), F.col(query_vector)), 6)
     groups = list(dict.fromkeys([*[c for c in questions.columns if c != query_vector], *per]))
     scored = joined.select(*groups, chunk, score.alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("score"), chunk)))
@@ -74,6 +77,44 @@ def fuse(ranked: DataFrame, question: str = "question_id", request: str = "reque
     return per_request.groupBy(question, chunk).agg(F.max("fusion").alias("fusion"))
 
 
+def candidates(chunks: DataFrame, requests: DataFrame, keywords: DataFrame, groups: Sequence[str], dense: int = DENSE, keyword: int = KEYWORD, chunk: str = "chunk_id", vector: str = "vector", query_vector: str = "query_vector") -> DataFrame:
+    """(question_id, request_id, groups..., chunk, channel, rank, score): for every group of a request's documents (company,
+    period bucket and source, say) the best chunks by the request's vector, and fewer by each keyword's.
+
+    chunks: chunk, vector, groups. requests: question_id, request_id, query_vector. keywords: the same and keyword_no.
+    """
+    named = lambda found, channel: found.withColumn("channel", channel)
+    by_query = named(search(chunks, requests.select("question_id", "request_id", query_vector), [], dense, vector, query_vector, chunk, per=groups), F.lit("query_dense"))
+    by_word = search(chunks, keywords.select("question_id", "request_id", "keyword_no", query_vector), [], keyword, vector, query_vector, chunk, per=groups)
+    by_word = named(by_word, F.concat(F.lit("keyword_dense:"), F.col("keyword_no"))).drop("keyword_no")
+    return by_query.unionByName(by_word)
+
+
+def fuse_merged(found: DataFrame, doc: str = "doc_id", text: str = "text", chunk: str = "chunk_id", k: int = RRF_K) -> DataFrame:
+    """(question_id, chunk, requests, fusion): chunks of a document with equal whitespace-normalised texts are one.
+
+    The one with the smallest id stands for all of them with the best rank of each request and channel; its fusion is the
+    largest over its requests of the sum of 1 / (k + rank). Only digests of texts are grouped.
+    """
+    marked = found.withColumn("_digest", F.sha1(T.clean(F.col(text)).cast("binary")))
+    first = marked.groupBy("question_id", doc, "_digest").agg(F.min(chunk).alias("_first"))
+    named = marked.join(first, ["question_id", doc, "_digest"]).withColumn(chunk, F.col("_first"))
+    best = named.groupBy("question_id", "request_id", chunk, "channel").agg(F.min("rank").alias("rank"))
+    per_request = best.groupBy("question_id", "request_id", chunk).agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("fusion"))
+    return per_request.groupBy("question_id", chunk).agg(F.array_sort(F.collect_set("request_id")).alias("requests"), F.max("fusion").alias("fusion"))
+
+
+def channel_score(scores: Column, request: Column) -> Column:
+    """The largest score of a map of channels whose name starts with the request; of all channels if none does; else 0."""
+    own = F.map_values(F.map_filter(scores, lambda c, _: F.startswith(c, F.concat(request, F.lit(":")))))
+    return F.coalesce(F.array_max(own), F.array_max(F.map_values(scores)), F.lit(0.0))
+
+
+def searchable_text(text: Column, metadata: Sequence[Column]) -> Column:
+    """The text, and below it the values that are there, on one line."""
+    return F.concat(F.coalesce(text, F.lit("")), F.lit("\n"), F.concat_ws(" ", *[m.cast("string") for m in metadata]))
+
+
 def first_of_content(df: DataFrame, keys: Sequence[str], text: str, order: Sequence[Column]) -> DataFrame:
     """The first row of those that share keys and whitespace-normalised text."""
     w = Window.partitionBy(*keys, F.sha1(T.clean(F.col(text)).cast("binary"))).orderBy(*order)
@@ -97,24 +138,24 @@ def rerank(scored: DataFrame, keep: int = KEPT, question: str = "question_id", r
 
 def term_match(text: Column, terms: Column) -> Column:
     """Mean over terms: 1 if contained, else 0.7 times the share of its tokens that are; at most 1; 0 without terms."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = T.dense_key(text)
 
     def one(term: Column) -> Column:
         parts = T.tokens(term)
         hits = F.size(F.filter(parts, lambda t: F.contains(low, t)))
-        return F.when(F.contains(low, F.lower(term)), 1.0).otherwise(F.coalesce(F.try_divide(0.7 * hits, F.size(parts)), F.lit(0.0)))
+        return F.when(F.contains(low, T.dense_key(term)), 1.0).otherwise(F.coalesce(F.try_divide(0.7 * hits, F.size(parts)), F.lit(0.0)))
 
     total = F.aggregate(F.transform(terms, one), F.lit(0.0), lambda acc, x: acc + x)
     return F.least(F.lit(1.0), F.coalesce(F.try_divide(total, F.size(terms)), F.lit(0.0)))
 
 
 def question_overlap(text: Column, question: Column) -> Column:
-    low, parts = F.lower(F.coalesce(text, F.lit(""))), T.tokens(question)
+    low, parts = T.dense_key(text), T.tokens(question)
     return F.coalesce(F.try_divide(F.size(F.filter(parts, lambda t: F.contains(low, t))).cast("double"), F.size(parts)), F.lit(0.0))
 
 
 def evidence_bonus(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit("|")), 0.5).otherwise(0.0) + F.when(text.rlike(r"\d"), 0.3).otherwise(0.0) + F.when(text.rlike("원|%|주|억|USD"), 0.2).otherwise(0.0)
+    return F.when(F.contains(text, F.lit("|")), 0.5).otherwise(0.0) + F.when(text.rlike(r"\d"), 0.3).otherwise(0.0) + F.when(text.rlike("|".join(EVIDENCE_UNITS)), 0.2).otherwise(0.0)
 
 
 def hybrid_score(distance: Column, text: Column, topics: Column, metrics: Column, question: Column) -> Column:
