@@ -44,7 +44,8 @@ def components(links: DataFrame) -> DataFrame:
         return links.select(F.col("a").cast("long").alias("node"), F.col("a").cast("long").alias("component")).limit(0)
     known, few = rounds[-1]
     for parents, _ in reversed(rounds[:-1]):
-        known = stored(_looked_up(parents, "parent", known, few).unionByName(known), "graph-labels")
+        both = _looked_up(parents, "parent", known, few).unionByName(known)  # a node that others were renamed to may be in both, with one root
+        known = stored(both.groupBy("node").agg(F.min("parent").alias("parent")), "graph-labels")
         few = few and known.count() <= SENT
     labels = known.select("node", F.col("parent").alias("component"))
     roots = labels.select("component").distinct()
