@@ -88,13 +88,18 @@ def draw(id_column: str, seed: str) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+#: Labels whose shares are broadcast to the rows; with more, a shuffled join.
+FEW_LABELS = 50_000
+
+
 def sampled(rows: DataFrame, label: str, per_label: int, seed: str, id_column: str = "doc_id") -> DataFrame:
     """About per_label rows of each label, chosen by a hash of the id alone; null labels are left out.
 
     The counts of the labels are joined, not collected, so any number of labels is kept.
     """
     labelled = rows.where(F.col(label).isNotNull())
-    counts = labelled.groupBy(F.col(label).alias("_label_of")).agg((F.lit(float(per_label)) / F.count("*")).alias("_label_share"))
+    counts = stored(labelled.groupBy(F.col(label).alias("_label_of")).agg((F.lit(float(per_label)) / F.count("*")).alias("_label_share")), "label-shares")
+    counts = F.broadcast(counts) if counts.count() <= FEW_LABELS else counts
     drawn = labelled.withColumn("_drawn", draw(id_column, seed))
     return drawn.join(counts, (F.col(label) == F.col("_label_of")) & (F.col("_drawn") < F.col("_label_share"))).select(*[F.col(f"`{c}`") for c in rows.columns])
 

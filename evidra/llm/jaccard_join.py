@@ -496,6 +496,7 @@ def classed_rows(docs: DataFrame, join: Join = Join(), text: str = "text", id_co
         known = more if labels is None else more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = components(known)
 
+    forget(prefixes, entries)
     named = nodes.withColumn("component", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     out = named.join(smallest, "component").select("digest", "component_id", F.col("component").alias("class_id"))
