@@ -16,6 +16,9 @@ LEAST_CLEAR = 0.35
 #: Near-duplicates: shingles of five words, similarity of 0.8 or more.
 NEAR = jaccard_join.Join(width=5, percent=80)
 
+#: Ids and text digests of rows that are alike, which are broadcast up to so many.
+FEW_ALIKE = 100_000
+
 
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the whole row as one column, so that no column of docs can clash with an operator's own."""
@@ -35,13 +38,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     in id and text one stays, also where the text has no words; other wordless texts stay.
     """
     named = docs.select("doc_id", "text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_mark"))
-    classes = jaccard_join.classed_rows(named, NEAR, keep=["_mark"])
+    classes = stored(jaccard_join.classed_rows(named, NEAR, keep=["_mark"]), "pipeline-classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_mark")).alias("first")
     kept = classes.where("class_id IS NOT NULL").groupBy("class_id").agg(first).select(F.col("first.doc_id").alias("_kept"), F.col("first._mark").alias("_kept_mark"))
     alone = classes.where("class_id IS NULL").select(F.col("doc_id").alias("_kept"), F.col("_mark").alias("_kept_mark")).distinct()
     marked = docs.withColumn("_mark", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     chosen = marked.join(kept.unionByName(alone), F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "_mark"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    alike = stored(classes.groupBy(F.col("doc_id").alias("_same"), F.col("_mark").alias("_same_mark")).count().where("count > 1").drop("count"), "pipeline-alike")
+    n = alike.count()
+    if 0 < n <= FEW_ALIKE:  # only rows that have others like them are moved once more
+        same = F.col("doc_id").eqNullSafe(F.col("_same")) & (F.col("_mark") == F.col("_same_mark"))
+        once = chosen.join(F.broadcast(alike), same, "left_semi").dropDuplicates(["doc_id", "_mark"])
+        chosen = chosen.join(F.broadcast(alike), same, "left_anti").unionByName(once)
+    elif n:
+        chosen = chosen.dropDuplicates(["doc_id", "_mark"])
+    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
