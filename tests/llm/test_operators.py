@@ -329,3 +329,31 @@ def test_jaccard_classes_equal_brute_force(spark, odd, none, join):
     got = Counter(map(tuple, jaccard_join.classes(odd, join).collect()))
     assert got == brute_classes(EDGES, join)
     assert jaccard_join.classes(none, join).count() == 0
+
+
+def test_vectors_of_any_size_link(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [2e200, 2e200], 0), (3, [1e-200, 1e-200], 0), (4, [0.0, 0.0], 0), (5, [float("inf"), 1.0], 0), (6, [1.0, None], 0), (7, None, 0), (8, [1.0, 1.0], None)]
+    got = by_id(lattice_dedup.query(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).withColumnRenamed("vec_id", "doc_id"))
+    assert {k: (r["n_links"], r["component_id"]) for k, r in got.items()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), **{k: (0, k) for k in (4, 5, 6, 7, 8)}}
+
+
+def test_only_letters_have_a_language():
+    assert [language_id.has_letter(t) for t in ("½", "² Ⅷ ①", "१२", "a1", "日本", "_ -")] == [False, False, False, True, True, False]
+
+
+def test_direct_words_equal_the_library():
+    import public_tokenizers
+
+    own = token_store.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    words_of = own.probe()
+    assert own.seen.direct and len(words_of) > 5000
+    for mine, word in zip(own.encode(words_of), words_of, strict=True):
+        assert mine.tolist() == own.tokenizer.encode(word, add_special_tokens=False).ids
+
+
+def test_commonest_by_a_bound(spark):
+    from evidra.llm.common import at_least
+
+    df = spark.range(1, 2001).selectExpr("id AS word", "id AS c")
+    got = sorted(r["c"] for r in at_least(df, "c", 500).collect())
+    assert 400 < len(got) <= 500 and got == list(range(2001 - len(got), 2001)) and at_least(df.limit(0), "c", 5).count() == 0
