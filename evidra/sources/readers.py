@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,6 +85,35 @@ def write_vectors(chunks: DataFrame, path: str, company: str = "corp_name", expe
     return stored
 
 
+def upsert_vectors(chunks: DataFrame, path: str, company: str = "corp_name") -> DataFrame:
+    """Adds the chunks whose ids the vector table lacks and returns the table; run again after a loss, it adds what is left.
+
+    Of rows that repeat an id one is added. Only ids of the stored table are read.
+    """
+    spark = chunks.sparkSession
+    fresh = chunks.dropDuplicates(["chunk_id"])
+    if found_path(spark, path):
+        fresh = fresh.join(spark.read.parquet(path).select("chunk_id"), "chunk_id", "left_anti")
+    fresh.write.mode("append").partitionBy(company).parquet(path)
+    return spark.read.parquet(path)
+
+
+def found_path(spark: SparkSession, path: str) -> str | None:
+    """The path as it exists in the file system it names: composed, else decomposed letters; None if neither does."""
+    for form in ("NFC", "NFD"):
+        shown = unicodedata.normalize(form, path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(shown)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return shown
+    return None
+
+
+def lenient_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines without the damaged ones; a missing file counts as an empty one."""
+    found = found_path(spark, path)
+    return json_lines(spark, found, schema, "drop") if found else spark.createDataFrame([], schema)
+
+
 def cache_misses(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     return wanted.join(cache.select(key).distinct(), key, "left_anti")
 

@@ -178,3 +178,21 @@ def test_grounding(spark):
     assert {r["q"]: r["attempt"] for r in grounding.choose_attempt(attempts, "q").collect()} == {1: 2, 2: 1}
     rows = spark.createDataFrame([(1, "head\nsales | 500\nother token\nnothing", ["500"], ["token"])], "id int, text string, numbers array<string>, terms array<string>")
     assert grounding.evidence_lines(rows, ["id"], "text", "numbers", "terms").first()["lines"] == ["head", "sales | 500", "other token"]
+
+
+def test_upsert_paths_and_lenient_lines(spark, tmp_path):
+    import unicodedata
+
+    from evidra.sources import readers
+
+    path = str(tmp_path / "vectors")
+    first = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 1.0), ("b", "y", 2.0)], "chunk_id string, corp_name string, v double")
+    assert readers.upsert_vectors(first, path).count() == 2
+    more = spark.createDataFrame([("b", "y", 9.0), ("c", "y", 3.0)], first.schema)
+    assert sorted(map(tuple, readers.upsert_vectors(more, path).select("chunk_id", "v").collect())) == [("a", 1.0), ("b", 2.0), ("c", 3.0)]
+    name = unicodedata.normalize("NFD", "가나.jsonl")
+    (tmp_path / name).write_text('{"k": 1}\nbroken\n{"k": 2}\n')
+    asked = str(tmp_path / unicodedata.normalize("NFC", "가나.jsonl"))
+    assert readers.found_path(spark, asked) is not None and readers.found_path(spark, asked + "x") is None
+    assert sorted(r["k"] for r in readers.lenient_lines(spark, asked, "k int").collect()) == [1, 2]
+    assert readers.lenient_lines(spark, asked + "x", "k int").count() == 0
