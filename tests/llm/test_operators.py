@@ -357,3 +357,25 @@ def test_commonest_by_a_bound(spark):
     df = spark.range(1, 2001).selectExpr("id AS word", "id AS c")
     got = sorted(r["c"] for r in at_least(df, "c", 500).collect())
     assert 400 < len(got) <= 500 and got == list(range(2001 - len(got), 2001)) and at_least(df.limit(0), "c", 5).count() == 0
+
+
+def test_components_of_chains_hubs_and_random_links(spark):
+    from evidra.llm.graph import components
+
+    rng = random.Random(3)
+    ids = rng.sample(range(1, 1 << 40), 1000)
+    links = [*zip(ids, ids[1:], strict=False), *((1 << 41, (1 << 42) + k) for k in range(200)), *(((1 << 50) + rng.randrange(300), (1 << 50) + rng.randrange(300)) for _ in range(200))]
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    want = {x: root(x) for a, b in links if a != b for x in (a, b)}
+    rows = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(rows) == len(want) and {r["node"]: r["component"] for r in rows} == want
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
