@@ -33,6 +33,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares; a local one where none is set, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="evidra-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/evidra/{name}-{uuid.uuid4().hex}"
