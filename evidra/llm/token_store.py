@@ -49,18 +49,19 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _grown[base][:n]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id array; they depend on the ids just before them alone, but for least and most."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def _candidates(ids: np.ndarray) -> np.ndarray:
+    """Ends where the rolling hash of the last LOOK ids asks for a cut."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
-    sums = np.cumsum(mixed * _powers(_ODD_INVERSE, n), dtype=np.uint64)
+    sums = np.cumsum(mixed * _powers(_ODD_INVERSE, len(ids)), dtype=np.uint64)
     sums[LOOK:] -= sums[:-LOOK].copy()
-    rolled = (sums * _powers(_ODD, n)) >> np.uint64(40)
+    return np.flatnonzero((sums * _powers(_ODD, len(ids))) >> np.uint64(40) & np.uint64(MEAN - 1) == 0) + 1
+
+
+def _chosen(candidates: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids: candidates no nearer than LEAST to the end before, and none farther than MOST."""
     out, last = [], 0
-    for end in (np.flatnonzero(rolled & np.uint64(MEAN - 1) == 0) + 1).tolist():
+    for end in candidates:
         while end - last > MOST:
             last += MOST
             out.append(last)
@@ -75,6 +76,21 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id array; they depend on the ids just before them alone, but for least and most."""
+    return cuts_of(ids, [len(ids)])[0]
+
+
+def cuts_of(ids: np.ndarray, sizes: Sequence[int]) -> list[list[int]]:
+    """The cuts of arrays laid end to end. As LOOK is below LEAST, what stands before an array has no say in its cuts."""
+    found, out, at = _candidates(ids), [], 0
+    for n in sizes:
+        first, last = np.searchsorted(found, (at + 1, at + n + 1))
+        out.append(_chosen((found[first:last] - at).tolist() if n > LEAST else [], n))
+        at += n
+    return out
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
@@ -107,9 +123,11 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-#: A word of Latin letters that no normaliser recomposes, and marks that a splitter cuts off behind it as one piece.
+#: A word of Latin letters that no normaliser recomposes, marks that a splitter cuts off behind a letter as one piece,
+#: and texts whose letters may be lowered ahead: below U+0250, where lowering is a letter for a letter (not so U+0130).
 PLAIN, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+"), ".,|!?;:&%$#*"
-PROBE = "The Häuser, ÉTÉ niño!! x.y ıß straße|| don't; 12ab &&& Zürich*** façade: Œuvre ŉ <|endoftext|> ǅ"
+BEHIND, SIMPLE = re.compile(f"[{re.escape(MARKS)}](?<=[A-Za-zÀ-ÖØ-öø-įı-ɏ].)[{re.escape(MARKS)}]*(?![^ ])"), re.compile("[\\x00-įı-ɏ]*")
+PROBE = "The Häuser, ÉTÉ niño!! x.y ıß straße|| don't; 12ab &&& Zürich*** façade: Œuvre ŉ <|endoftext|> ǅ 12AB, X.Y!! 'S* l'Été. --ÀB;; (Œ)#a: ½B, .,C?! #*d. É'LL&"
 
 
 def byte_letters() -> list[str]:
@@ -133,35 +151,15 @@ class _Seen(dict):
         return ids
 
 
-class _Forms(dict):
-    """Ids of words with their case and marks, from those of their cores; written out in one place, as new words are many."""
-
-    def __init__(self, cores: _Seen, tails: _Seen, whole: Callable[[str], bytes]) -> None:
-        super().__init__({"": b""})
-        self.parts = cores, tails, whole
-        self.direct = True
-
-    def __missing__(self, word: str) -> bytes:
-        cores, tails, whole = self.parts
-        core = word.rstrip(MARKS)
-        if self.direct and (core.isalpha() if core.isascii() else PLAIN.fullmatch(core)):
-            ids = cores[core.lower()]
-            if len(core) < len(word):
-                ids += tails[word[len(core) :]]
-        else:
-            ids = whole(word)
-        if len(word) <= LONG:
-            self[word] = ids
-        return ids
-
-
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, a word at a time with memory.
 
     For tokenizers whose tokens never cross white space (it drops blanks before it splits words), the ids of a text
-    are those of its words one after the other. If the tokenizer also lowers letters and splits them from marks, plain
-    words go to the library's model directly, without the cost of its whole pipeline; the whole pipeline is compared
-    with that for every letter of PLAIN, alone, inside a word and before every mark, before it is relied on.
+    are those of its words one after the other. If the tokenizer also lowers letters and splits them from marks, simple
+    texts are lowered and their marks split off as a whole, so that fewer different words are met, and plain words go to
+    the library's model directly, without the cost of its whole pipeline; the whole pipeline is compared with that for
+    every letter of PLAIN, alone, inside a word and before every mark, before it is relied on. Texts that hold letters
+    beyond SIMPLE, or a special token once lowered, go to the pipeline as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -169,39 +167,48 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.cores, self.tails = _Seen(self._model), _Seen(self._whole)
-        self.seen = _Forms(self.cores, self.tails, self._whole)
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lowered, self.whole = _Seen(self._lowered), _Seen(self._whole)
+        self.direct = True
         words = self.probe()
         theirs = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self.seen.direct = all(self.seen[w] == np.array(t.ids, "<u4").tobytes() for w, t in zip(words, theirs, strict=True))
+        self.direct = all(w.tobytes() == np.array(t.ids, "<u4").tobytes() for w, t in zip(self.encode(words), theirs, strict=True))
         self.forget()
 
     @staticmethod
     def probe() -> list[str]:
         letters = [c for c in map(chr, range(0x250)) if PLAIN.fullmatch(c)]
-        return [*PROBE.split(" "), *letters, *[f"ab{c}Ab" for c in letters], *[f"{c}{m}" for c in letters for m in MARKS], *[f"ab{m}{k}" for m in MARKS for k in MARKS]]
+        return [*PROBE.split(" "), PROBE, *letters, *[f"ab{c}Ab" for c in letters], *[f"{c}{m}" for c in letters for m in MARKS], *[f"ab{m}{k}" for m in MARKS for k in MARKS]]
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _model(self, low: str) -> bytes:
-        """The model's ids of a lower-case plain word."""
-        shown = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+    def _lowered(self, low: str) -> bytes:
+        """Ids of a word of a lowered text: the model's if it is plain."""
+        if low.isascii():
+            if low.isalpha():
+                return array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
+        elif PLAIN.fullmatch(low):
+            return array("I", [t.id for t in self.model.tokenize("".join([self.letters[b] for b in low.encode()]))]).tobytes()
+        return self._whole(low)
 
     def forget(self) -> None:
-        for memory in (self.seen, self.cores, self.tails):
+        for memory in (self.lowered, self.whole):
             memory.clear()
             memory[""] = b""
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         out = []
-        if len(self.seen) > REMEMBERED or len(self.cores) > REMEMBERED or len(self.tails) > REMEMBERED:
+        if len(self.lowered) > REMEMBERED or len(self.whole) > REMEMBERED:
             self.forget()
-        ids_of = self.seen.__getitem__
         for t in texts:
-            words = (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            out.append(np.frombuffer(b"".join(map(ids_of, words)), "<u4"))
+            text = (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            ids_of = self.whole.__getitem__
+            if self.direct and (text.isascii() or SIMPLE.fullmatch(text)):
+                low = text.lower()
+                if not any(s in low for s in self.special):
+                    text, ids_of = BEHIND.sub(r" \g<0>", low), self.lowered.__getitem__
+            out.append(np.frombuffer(b"".join(map(ids_of, text.split(" "))), "<u4"))
         return out
 
 
@@ -225,12 +232,14 @@ def encode(docs: DataFrame, make: Callable[[], WordEncoder], end: int | None, te
         own = make()
         for b in batches:
             rows: dict[str, list[Any]] = {n: [] for n in ENCODED.names[1:]}
-            for ids in own.encode(b.column(1).to_pylist()):
-                ids = np.concatenate([ids, tail])
-                ends = cuts(ids)
-                raw = ids.tobytes()
-                rows["n_tokens"].append(len(ids)), rows["sizes"].append(np.diff([0, *ends]).tolist()), rows["data"].append(pack(ids))
-                rows["digests"].append([digest(raw[4 * a : 4 * z]) for a, z in zip([0, *ends[:-1]], ends, strict=True)])
+            texts = [part for ids in own.encode(b.column(1).to_pylist()) for part in (ids, tail)]
+            joined, lengths = np.concatenate([tail[:0], *texts]), [len(i) + len(tail) for i in texts[::2]]
+            raw, start = joined.tobytes(), 0
+            for n, ends in zip(lengths, cuts_of(joined, lengths), strict=True):
+                places = [4 * (start + e) for e in (0, *ends)]
+                rows["n_tokens"].append(n), rows["sizes"].append(np.diff([0, *ends]).tolist()), rows["data"].append(pack(joined[start : start + n]))
+                rows["digests"].append([digest(raw[a:z]) for a, z in zip(places, places[1:], strict=False)])
+                start += n
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, ENCODED.field(k).type) for k, v in rows.items()]], schema=ENCODED)
 
     return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, n_tokens long, sizes array<int>, digests array<binary>, data binary")
