@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import calc, catalog, coverage, datasets, grounding, requests, retrieval, tables
+from ..operators import calc, calculation, catalog, coverage, datasets, grounding, requests, retrieval, tables
 from .registry import money, query, t
 
 # ---- text
@@ -502,3 +502,52 @@ def changed_fields(spark, sf_dir):
 @query("""SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders""")
 def dense_ids(spark, sf_dir):
     return datasets.dense_ids(t(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
+# ---- calculation plans: every order is one, its lines are its facts and its sources, of which the first five were retrieved
+
+_PLANS = """p AS (SELECT o_orderkey AS plan_id, o_orderstatus <> 'P' AS answerable, ['sum', 'average', 'max', 'difference', 'ratio', 'median', 'guess'][1 + o_orderkey % 7] AS operation FROM orders),
+u AS (SELECT l_orderkey AS plan_id, array_to_string(list(DISTINCT l_linenumber::VARCHAR ORDER BY l_linenumber::VARCHAR), ', ') AS unknown FROM lineitem WHERE l_linenumber > 5 GROUP BY 1),
+c AS (SELECT plan_id, answerable, CASE WHEN answerable THEN operation END AS operation, CASE WHEN unknown IS NOT NULL THEN 'unknown sources: ' || unknown WHEN answerable AND operation = 'guess' THEN 'unsupported operation: guess' END AS fault FROM p LEFT JOIN u USING (plan_id))"""
+
+
+def _plans(spark, sf_dir):
+    names = F.array(*[F.lit(n) for n in ("sum", "average", "max", "difference", "ratio", "median", "guess")])
+    plans = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan_id"), (F.col("o_orderstatus") != "P").alias("answerable"), F.element_at(names, (1 + F.col("o_orderkey") % 7).cast("int")).alias("operation"))
+    sources = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("source_id"))
+    return plans, sources, sources.where("source_id <= 5")
+
+
+@query(f"WITH {_PLANS} SELECT * FROM c")
+def plan_checks(spark, sf_dir):
+    return calculation.checked_plans(*_plans(spark, sf_dir))
+
+
+@query(f"""WITH {_PLANS}, f AS (SELECT l_orderkey AS plan_id, sum(l_quantity) AS s, avg(l_quantity) AS a, max(l_quantity) AS m, median(l_quantity) AS d, max(l_quantity) FILTER (l_linenumber = 1) AS x, max(l_quantity) FILTER (l_linenumber = 2) AS y FROM lineitem GROUP BY 1),
+r AS (SELECT c.*, CASE WHEN fault IS NULL AND answerable THEN CASE operation WHEN 'sum' THEN s WHEN 'average' THEN a WHEN 'max' THEN m WHEN 'difference' THEN x - y WHEN 'ratio' THEN x / nullif(y, 0) WHEN 'median' THEN d END END AS v FROM c LEFT JOIN f USING (plan_id))
+SELECT plan_id, operation, round(v::DOUBLE, 6) AS result, CASE WHEN fault IS NOT NULL THEN 'fault' WHEN NOT answerable THEN 'insufficient' WHEN v IS NULL THEN 'undefined' ELSE 'ok' END AS status FROM r""")
+def plan_results(spark, sf_dir):
+    facts = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("position"), F.col("l_quantity").alias("value"))
+    got = calculation.run_plans(calculation.checked_plans(*_plans(spark, sf_dir)), facts)
+    return got.select("plan_id", "operation", F.round("result", 6).alias("result"), "status")
+
+
+@query(f"WITH {_PLANS} SELECT DISTINCT l_orderkey AS plan_id, l_linenumber AS source_id FROM lineitem JOIN c ON plan_id = l_orderkey WHERE fault IS NULL AND l_linenumber <= 5")
+def plan_sources(spark, sf_dir):
+    plans, sources, chunks = _plans(spark, sf_dir)
+    return calculation.selected_sources(calculation.checked_plans(plans, sources, chunks), sources, chunks.distinct())
+
+
+@query("""SELECT l_suppkey, l_returnflag, year(l_shipdate) AS used_period, min(month(l_shipdate)) AS requested FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL""")
+def fallback_notices(spark, sf_dir):
+    fallbacks = t(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", F.col("l_orderkey").cast("string").alias("chunk_id"), F.year("l_shipdate").alias("used_period"), F.month("l_shipdate").alias("requested"))
+    used = t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit(" "), "o_orderkey").alias("chunk_id"))
+    return calculation.fallback_notices(fallbacks, used, ["l_suppkey", "l_returnflag"], "requested", "used_period")
+
+
+@query("""WITH n AS (SELECT l_orderkey, l_returnflag, min(l_linenumber) AS place FROM lineitem GROUP BY 1, 2), l AS (SELECT l_orderkey, string_agg('- ' || l_returnflag, chr(10) ORDER BY place, l_returnflag) AS lines FROM n GROUP BY 1)
+SELECT o_orderkey, o_orderpriority || coalesce(chr(10) || chr(10) || lines, '') AS text FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+def answers_with_sources(spark, sf_dir):
+    sources = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_linenumber")
+    return calculation.answer_with_sources(t(spark, sf_dir, "orders"), sources, "o_orderkey", "o_orderpriority", "l_returnflag", "l_linenumber")

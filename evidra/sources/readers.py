@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,3 +120,37 @@ def cache_misses(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
 
 def collection_catalog(vectors: DataFrame, company: str = "corp_name") -> DataFrame:
     return vectors.groupBy(company).agg(F.count("*").alias("chunks"), F.count_distinct("chunk_id").alias("ids"))
+
+
+def _shown(markup: Column) -> Column:
+    """The text of a piece of markup, the commonest entities resolved."""
+    text = F.regexp_replace(markup, "<[^>]*>", " ")
+    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def html_fields(docs: DataFrame, id_column: str, markup: str) -> DataFrame:
+    """(id, title, fields): label and value of every table row of a page, as an array in page order.
+
+    The last two cells of a row are label and value. A row of one cell is a heading, whose value is the next row of one
+    cell; a row of more cells ends it. Rows with a blank label or value are left out. A label met before gets the number
+    of fields so far behind it. Null and empty pages have a blank title and no fields.
+    """
+    page = F.regexp_replace(F.coalesce(F.col(markup), F.lit("")), r"(?s)<!--.*?-->|<[?!][^>]*>", "")
+    rows = F.transform(F.regexp_extract_all(page, F.lit(r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr>"), F.lit(1)), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td(?:\s[^>]*)?>(.*?)</td>"), F.lit(1)), _shown))
+    empty = F.struct(F.lit("").alias("heading"), F.array().cast("array<struct<label:string,value:string>>").alias("fields"))
+
+    def step(state: Column, cells: Column) -> Column:
+        n = F.size(cells)
+        only = F.try_element_at(cells, F.lit(1))
+        heading, fields = state["heading"], state["fields"]
+        label = F.when(n >= 2, F.try_element_at(cells, F.lit(-2))).when((n == 1) & (heading != ""), heading).otherwise("")
+        value = F.when(n >= 1, F.try_element_at(cells, F.lit(-1))).otherwise("")
+        named = F.when(F.exists(fields, lambda f: f["label"] == label), F.concat(label, F.lit(" "), F.size(fields))).otherwise(label)
+        more = F.concat(fields, F.array(F.struct(named.alias("label"), value.alias("value"))))
+        ahead = F.when(n == 0, heading).when((n == 1) & (heading == ""), only).otherwise("")
+        return F.struct(ahead.alias("heading"), F.when((label != "") & (value != ""), more).otherwise(fields).alias("fields"))
+
+    title = _shown(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return docs.select(id_column, title.alias("title"), F.aggregate(rows, empty, step)["fields"].alias("fields"))

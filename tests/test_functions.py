@@ -193,3 +193,27 @@ def test_upsert_paths_and_lenient_lines(spark, tmp_path):
     assert readers.found_path(spark, asked) is not None and readers.found_path(spark, asked + "x") is None
     assert sorted(r["k"] for r in readers.lenient_lines(spark, asked, "k int").collect()) == [1, 2]
     assert readers.lenient_lines(spark, asked + "x", "k int").count() == 0
+
+
+def test_html_fields(spark):
+    page = "<title>T &amp; U</title><!-- <tr><td>x</td><td>y</td></tr> --><table><tr><td>a</td><td>Name</td><td><b>Kim</b>&nbsp;</td></tr><TR class='r'><td>Note</td></TR><tr><td>long text</td></tr><tr><td>lost</td></tr><tr><td>Name</td><td>Lee</td></tr><tr><td>Empty</td><td> </td></tr><tr><td>tail</td></tr></table>"
+    docs = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<tr></tr><td>")], "doc_id int, html string")
+    got = {r["doc_id"]: (r["title"], [tuple(f) for f in r["fields"]]) for r in readers.html_fields(docs, "doc_id", "html").collect()}
+    assert got == {1: ("T & U", [("Name", "Kim"), ("Note", "long text"), ("Name 2", "Lee")]), 2: ("", []), 3: ("", []), 4: ("", [])}
+
+
+def test_calculation_plans(spark):
+    from evidra.operators import calculation
+
+    plans = spark.createDataFrame([(1, True, "sum"), (2, True, "ratio"), (3, False, "sum"), (4, True, "nope"), (5, True, None), (6, None, None), (7, True, "cagr"), (8, True, "mean")], "plan_id int, answerable boolean, operation string")
+    sources = spark.createDataFrame([(1, "a"), (2, "a"), (2, "z"), (2, "y"), (3, None), (7, "a"), (7, "a")], "plan_id int, source_id string")
+    chunks = spark.createDataFrame([(1, "a"), (2, "a"), (7, "a"), (1, "z")], "plan_id int, source_id string")
+    facts = spark.createDataFrame([(1, 1, 2.0), (1, 2, None), (1, 3, float("nan")), (1, 4, 5.0), (7, 1, 100.0), (7, 2, 121.0), (7, 3, 2.0)], "plan_id int, position int, value double")
+    checked = calculation.checked_plans(plans, sources, chunks)
+    got = {r["plan_id"]: (r["fault"], None if r["result"] is None else round(r["result"], 6), r["status"]) for r in calculation.run_plans(checked, facts).collect()}
+    assert got == {
+        1: (None, 7.0, "ok"), 2: ("unknown sources: y, z", None, "fault"), 3: (None, None, "insufficient"), 4: ("unsupported operation: nope", None, "fault"),
+        5: ("unsupported operation: none", None, "fault"), 6: (None, None, "insufficient"), 7: (None, 10.0, "ok"), 8: (None, None, "undefined"),
+    }
+    assert sorted(map(tuple, calculation.selected_sources(checked, sources, chunks).collect())) == [(1, "a"), (7, "a")]
+    assert calculation.run_plans(calculation.checked_plans(plans.limit(0), sources, chunks), facts).count() == 0
