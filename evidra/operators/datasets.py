@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def hash_share(id_column: Column, seed: str) -> Column:
     """A number from 0 to 1: the first 12 hex digits of the SHA-256 of seed and id."""
@@ -56,11 +58,8 @@ def changed_fields(records: DataFrame, keys: Sequence[str], order: Sequence[str]
 
 
 def dense_ids(rows: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
-    """Adds whole numbers from 0 in that order, without gathering the rows: each partition counts from its own offset."""
-    indexed = rows.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    from pyspark.sql import types as T
-
-    return rows.sparkSession.createDataFrame(indexed, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
+    """Adds whole numbers from 0 in that order; see :func:`numbering.numbered`."""
+    return numbered(rows, order, name, 0)
 
 
 def training_text(question: Column, context: Column, with_context: bool = True) -> Column:
