@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import forget, scratch, stored  # noqa: F401 (the operators take them from here)
+
 #: Word separators of every contract: space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Lowers A-Z in UTF-8 bytes and leaves all else.
@@ -29,32 +29,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="evidra-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/evidra/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables that stored() wrote and that nothing reads any more."""
-    for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def at_least(counted: DataFrame, column: str, most: int) -> DataFrame:
     """The rows with the largest whole numbers in a column, at most so many: all from a bound on, so ties go together.
 

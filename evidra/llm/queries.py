@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gru_lm, jaccard_join, language_id, lattice_dedup, mixing, mpeg_audio, pieces, secret_scan, token_store, toxicity
+from . import divergence, gru_lm, jaccard_join, language_id, lattice_dedup, mixing, mpeg_audio, pieces, quality, resampling, secret_scan, token_store, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,5 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": lambda spark, sf_dir: mixing.query(table(spark, sf_dir, "documents")),
     "op9_sentence_pieces": pieces.query,
     "op10_jaccard_join": lambda spark, sf_dir: jaccard_join.query(table(spark, sf_dir, "documents")),
+    "op11_crc_resampling": resampling.query,
+    "op12_fourier_quality": quality.query,
+    "op13_source_divergence": lambda spark, sf_dir: divergence.query(table(spark, sf_dir, "documents")),
 }
-ORACLE_SQL: dict[str, str] = {"op7_secret_scan": secret_scan.SQL, "op8_mix_sources": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_secret_scan": secret_scan.SQL, "op8_mix_sources": mixing.SQL, "op11_crc_resampling": resampling.SQL, "op13_source_divergence": divergence.SQL}
