@@ -5,11 +5,13 @@ Null, empty and very long texts, repeated rows and empty tables go through every
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.llm import jaccard_join, language_id, mixing, pieces, secret_scan
-from evidra.llm.common import stored
+from evidra.shared import named, stored
 
 #: Texts whose language is no clearer than this go, as do texts without letters.
 LEAST_CLEAR = 0.35
@@ -22,13 +24,18 @@ FEW_ALIKE = 100_000
 
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the whole row as one column, so that no column of docs can clash with an operator's own."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return docs.select("doc_id", "text", F.struct(*[named(c) for c in docs.columns]).alias("_row"))
+
+
+def unpacked(columns: Sequence[str]) -> list[Column]:
+    """The columns of :func:`packed` docs again."""
+    return [named(c, "_row").alias(c) for c in columns]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters or a clear language (null and empty ones too); the model learns from docs' lang."""
     found = language_id.predict(packed(docs), language_id.fit(docs), keep=["_row"])
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CLEAR)).select("_row.*")
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_CLEAR)).select(*unpacked(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +44,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Classes are decided by row, so rows that repeat an id with other texts stay or go by their own class. Of rows alike
     in id and text one stays, also where the text has no words; other wordless texts stay.
     """
-    named = docs.select("doc_id", "text", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_mark"))
-    classes = stored(jaccard_join.classed_rows(named, NEAR, keep=["_mark"]), "pipeline-classes")
+    rows = packed(docs).withColumn("_mark", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    classes = stored(jaccard_join.classed_rows(rows.select("doc_id", "text", "_mark"), NEAR, keep=["_mark"]), "pipeline-classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_mark")).alias("first")
     kept = classes.where("class_id IS NOT NULL").groupBy("class_id").agg(first).select(F.col("first.doc_id").alias("_kept"), F.col("first._mark").alias("_kept_mark"))
     alone = classes.where("class_id IS NULL").select(F.col("doc_id").alias("_kept"), F.col("_mark").alias("_kept_mark")).distinct()
-    marked = docs.withColumn("_mark", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    chosen = marked.join(kept.unionByName(alone), F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
+    chosen = rows.join(kept.unionByName(alone), F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi")
     alike = stored(classes.groupBy(F.col("doc_id").alias("_same"), F.col("_mark").alias("_same_mark")).count().where("count > 1").drop("count"), "pipeline-alike")
     n = alike.count()
     if 0 < n <= FEW_ALIKE:  # only rows that have others like them are moved once more
@@ -52,7 +58,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         chosen = chosen.join(F.broadcast(alike), same, "left_anti").unionByName(once)
     elif n:
         chosen = chosen.dropDuplicates(["doc_id", "_mark"])
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return chosen.select(*unpacked(docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +78,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     out = pieces.encode_texts(packed(docs), pieces.vocabulary(), keep=["_row"], ids=True)
     new = [c for c in out.columns if c not in ("doc_id", "_row")]
-    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in new], *new)
+    return out.select(*unpacked([c for c in docs.columns if c not in new]), *new)
 
 
 STAGES = [

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -34,6 +35,12 @@ def forget(*tables: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def named(column: str, of: str | None = None) -> Column:
+    """The column of that very name, whatever signs it holds; ``of`` names a struct that it is a field of."""
+    quoted = "`" + column.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
 def free_name(wanted: str, *tables: DataFrame) -> str:
     """The wanted column name, with as many underscores before it as keep it apart from the tables' columns."""
     taken = {c.lower() for df in tables for c in df.columns}
