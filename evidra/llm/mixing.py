@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import free_name, named
 from .common import WORD, draw, stored
 
 #: A source table of at most so many rows is broadcast; a larger one is joined by shuffle, its hot keys split by AQE.
@@ -56,26 +57,34 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
 
     ``docs`` has doc_id, text and source. Null texts have size 0; a source without words has target 0 and copies 0.
     Rows that repeat an id draw alike. Ties do not arise: every row is decided alone. An empty table gives an empty one.
+    A column of ``keep`` that has the name of one of those gives way to it; other columns are not read.
     """
-    sized = stored(docs.select(*[c for c in dict.fromkeys([*keep, "doc_id", "source"])], word_count().alias("size")), "mix-sizes")
+    own = [c for c in dict.fromkeys([*keep, "doc_id"]) if c not in ("source", "size", "source_size", "target", "copies")]
+    sized = stored(docs.select(*[named(c) for c in own], "source", word_count().alias("size")), "mix-sizes")
     sources = source_targets(sized, weights, share, most)
     few = sources.count() <= BROADCAST_SOURCES
-    side = sources.withColumnRenamed("source", "mix_source")
-    joined = sized.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
+    of = free_name("mix_source", sized)
+    side = sources.withColumnRenamed("source", of)
+    joined = sized.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col(of))).drop(of)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = (F.floor(rate) + F.when(draw("doc_id", seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
     return joined.withColumn("copies", copies)
 
 
 def emit(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix-1") -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as :func:`mix` says, with all its columns."""
+    """The mixed corpus: each row of ``docs`` as often as :func:`mix` says, with all its columns, whatever their names.
+
+    Rows are decided alone, so repeated rows and ids are each emitted as often as their own draw says (equal ids draw
+    alike). Rows without words have size 0; a source without words emits none of its rows. An empty table gives an empty one.
+    """
     sources = source_targets(stored(docs.select("source", word_count().alias("size")), "mix-sizes"), weights, share, most)
     few = sources.count() <= BROADCAST_SOURCES
-    side = sources.select(F.col("source").alias("_mix_source"), (F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias("_mix_rate"))
-    joined = docs.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("_mix_source")))
-    copies = F.floor("_mix_rate") + F.when(draw("doc_id", seed) < F.col("_mix_rate") - F.floor("_mix_rate"), 1).otherwise(0)
+    side = sources.select(F.col("source").alias("mix_source"), (F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias("rate"))
+    rows = docs.select("doc_id", "source", F.struct(*[named(c) for c in docs.columns]).alias("row"))
+    joined = rows.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("mix_source")))
+    copies = F.floor("rate") + F.when(draw("doc_id", seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     times = F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(times).alias("_mix_copy")).drop("_mix_copy")
+    return joined.select("row", F.explode(times)).select(*[named(c, "row").alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:
