@@ -8,7 +8,7 @@ verified by the regex itself. A rule without mandatory trigrams scans every text
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
 from re import _parser as sre  # the standard library's own regex parser
@@ -16,6 +16,7 @@ from re import _parser as sre  # the standard library's own regex parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import named
 from .common import stored
 
 
@@ -138,20 +139,46 @@ def candidates(postings: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return met.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
 
 
+#: Values that are folded one by one within a block, and how often blocks are blocked again: a million spans of a text
+#: take some 100 million steps. Another level would cost every query's planning more than it saves such a text.
+BLOCK, LEVELS = 128, 1
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def before_each(values: Column, step: Callable[[Column, Column], Column], zero: int = 0, levels: int = LEVELS) -> Column:
+    """For each place of an array of whole numbers the fold of all values before it; step is associative, zero its unit.
+
+    Blocks are folded, the folds of the blocks before each are found in the same way, and only within a block is every
+    place folded by itself, so the work grows with the array and not with its square.
+    """
+    fold = lambda part: F.aggregate(part, F.lit(zero), step)
+    within = lambda part, base: F.transform(part, lambda _, i: step(base, fold(F.slice(part, F.lit(1), i))))
+    if not levels:
+        return _let(values, lambda v: within(v, F.lit(zero)))
+    cut = lambda v: F.when(F.size(v) == 0, F.array().cast("array<array<int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+    joined = lambda blocks: F.flatten(F.zip_with(blocks, before_each(F.transform(blocks, fold), step, zero, levels - 1), within))
+    return _let(values, lambda v: F.when(F.size(v) <= BLOCK, within(v, F.lit(zero))).otherwise(_let(cut(v), joined)))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end) in code points of the rule's matches, leftmost and non-overlapping."""
     regex = F.lit(rule.regex)
     lengths = lambda a: F.transform(a, lambda x: F.length(x))
-    gaps, hits = lengths(F.split(text, rule.regex, -1)), lengths(F.regexp_extract_all(text, regex, F.lit(0)))
+    hits = lengths(F.regexp_extract_all(text, regex, F.lit(0)))
     sizes = lengths(F.regexp_extract_all(text, regex, F.lit(rule.group))) if rule.group else hits
-    kind = "array<struct<start:int,order:int,end:int,size:int>>"
-    parts = F.zip_with(F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))), sizes, lambda x, s: F.struct(x["g"].alias("g"), x["h"].alias("h"), s.alias("s")))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["g"] + x["h"]).alias("at"),
-        F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), F.lit(order).alias("order"), (acc["at"] + x["g"] + x["h"]).alias("end"), x["s"].alias("size")))).cast(kind).alias("spans"),
-    )
-    all_of = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans")), step)["spans"]
-    return F.filter(all_of, lambda x: x["size"] >= rule.least)
+    parts = F.struct(lengths(F.split(text, rule.regex, -1)).alias("gaps"), hits.alias("hits"), sizes.alias("sizes"))
+
+    def placed(p: Column) -> Column:
+        steps = F.transform(p["hits"], lambda h, i: F.get(p["gaps"], i) + h)
+        start = lambda before, i: F.get(before, i) + F.get(p["gaps"], i)
+        span = lambda before: F.transform(p["hits"], lambda h, i: F.struct(start(before, i).alias("start"), F.lit(order).alias("order"), (start(before, i) + h).alias("end"), F.get(p["sizes"], i).alias("size")))
+        return F.filter(_let(before_each(steps, lambda a, b: a + b), span), lambda x: x["size"] >= rule.least)
+
+    return _let(parts, placed)
 
 
 def _quick(rule: Rule) -> str:
@@ -167,10 +194,10 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "doc_i
     wider set), and each is verified by itself. Kinds may overlap; spans of one kind never do. Columns of docs other
     than those named are not read, so their names cannot clash.
     """
-    source = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    named = [r for r in rules if trigram_query(r.regex) is not None]
-    postings = stored(index(source, named, "_id", "_text"), "secret-postings")
-    chosen = stored(candidates(postings, named), "secret-candidates")
+    source = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"), *[named(c).alias(f"_keep_{c}") for c in keep])
+    indexed = [r for r in rules if trigram_query(r.regex) is not None]
+    postings = stored(index(source, indexed, "_id", "_text"), "secret-postings")
+    chosen = stored(candidates(postings, indexed), "secret-candidates")
     if chosen.count() <= SENT:  # the texts stay where they are
         chosen = F.broadcast(chosen)
     joined = source.join(chosen, F.col("_id").eqNullSafe(F.col("id")), "left").drop("id")
@@ -179,10 +206,10 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "doc_i
     for order, rule in enumerate(rules):
         quick = Rule(rule.kind, _quick(rule), rule.group, rule.least)
         asked = F.col("_text").rlike(quick.regex)
-        if rule in named:
+        if rule in indexed:
             asked = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)) & asked
         spans.append(F.when(asked, F.transform(_spans(F.col("_text"), quick, order), lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end")))).otherwise(empty))
-    return joined.select(F.col("_id").alias(id_column), *[F.col(f"_keep_{c}").alias(c) for c in keep], F.array_sort(F.concat(*spans)).alias("found"))
+    return joined.select(F.col("_id").alias(id_column), *[named(f"_keep_{c}").alias(c) for c in keep], F.sort_array(F.concat(*spans)).alias("found"))
 
 
 def _listed(found: Column, rules: Sequence[Rule]) -> Column:
@@ -191,20 +218,24 @@ def _listed(found: Column, rules: Sequence[Rule]) -> Column:
 
 
 def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, id_column: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every span (overlapping ones merged) replaced by the mark; all columns and rows stay."""
-    packed = docs.select(id_column, text, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """docs with every span (overlapping ones merged) replaced by the mark; all columns and rows stay, whatever their names.
+
+    Null and empty texts stay as they are; rows that repeat an id or a text are each rebuilt from their own spans. Texts
+    of any length and number of spans take time in proportion. An empty table gives an empty one.
+    """
+    packed = docs.select(id_column, text, F.struct(*[named(c) for c in docs.columns]).alias("_row"))
     hits = scan(packed, rules, id_column, text, ["_row"])
-    body = F.col(f"_row.`{text}`")
-    step = lambda acc, x: F.when(
-        x["end"] <= acc["at"], acc
-    ).otherwise(
-        F.struct(
-            x["end"].alias("at"),
-            F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(body, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).alias("out"),
-        )
-    )
-    done = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    return hits.select(*[F.when(F.size("found") > 0, done).otherwise(body).alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns])
+    body = named(text, "_row")
+
+    def rebuilt(x: Column) -> Column:
+        """The text between the spans: four bytes a code point, so that every cut costs its own length only."""
+        piece = lambda start, end: F.decode(F.concat(F.lit(bytes.fromhex("0000feff")), F.substring(x["wide"], 4 * start + 1, 4 * (end - start))), "UTF-32")
+        marked = F.transform(x["found"], lambda s, i: F.when(s["start"] >= F.get(x["reached"], i), F.concat(piece(F.get(x["reached"], i), s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(marked, ""), piece(F.array_max(F.transform(x["found"], lambda s: s["end"])), F.length(body)))
+
+    reached = before_each(F.transform("found", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    done = _let(F.struct("found", reached.alias("reached"), F.encode(body, "UTF-32").alias("wide")), rebuilt)
+    return hits.select(*[F.when(F.size("found") > 0, done).otherwise(body).alias(c) if c == text else named(c, "_row").alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -397,3 +398,30 @@ def test_components_of_chains_hubs_and_random_links(spark):
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert len(rows) == len(want) and {r["node"]: r["component"] for r in rows} == want
     assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_many_spans_take_time_in_proportion(spark):
+    """A text of 0.8 MB with 40,000 spans, and marks of byte order that are text."""
+    hexes = " ".join(f"{k:016x}" for k in range(40_000))
+    docs = spark.createDataFrame([(1, f"\ufeff{hexes} é🎉 \ufeffend")], "doc_id long, text string")
+    found = secret_scan.scan(docs)
+    began = time.perf_counter()
+    spans = found.first()["found"]
+    assert [s["start"] for s in spans] == list(range(1, 40_000 * 17, 17)) and time.perf_counter() - began < 5
+    out = secret_scan.redact(docs)
+    began = time.perf_counter()
+    assert out.first()["text"] == "\ufeff" + " ".join(["[secret]"] * 40_000) + " é🎉 \ufeffend" and time.perf_counter() - began < 5
+
+
+def test_folds_before_each_place(spark):
+    draw = random.Random(1)
+    rows = [([draw.randint(0, 9) for _ in range(n)],) for n in (0, 1, 127, 128, 129, 256, 1000)]
+    both = spark.createDataFrame(rows, "v array<int>").select("v", secret_scan.before_each(F.col("v"), lambda a, b: a + b).alias("sums"), secret_scan.before_each(F.col("v"), lambda a, b: F.greatest(a, b), levels=2).alias("most"))
+    for r in both.collect():
+        assert r["sums"] == [sum(r["v"][:i]) for i in range(len(r["v"]))] and r["most"] == [max(r["v"][:i], default=0) for i in range(len(r["v"]))]
+
+
+def test_mix_keeps_columns_whatever_their_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 9, "x"), (2, None, None, 8, "y")], "doc_id long, text string, source string, size int, `a.b` string").withColumn("mix_source", F.lit("m"))
+    got = by_id(mixing.mix(docs, keep=["size", "a.b", "mix_source"]))
+    assert (got[1]["size"], got[1]["a.b"], got[1]["mix_source"], got[2]["size"]) == (2, "x", "m", 0)

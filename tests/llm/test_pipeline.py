@@ -46,8 +46,8 @@ def test_rows_are_decided_by_themselves_whatever_their_columns(spark):
     """Repeated ids with other texts, and columns that have the names of every operator's own."""
     body = "the quick brown fox jumps over the lazy dog and runs far away from the big bad wolf every single day of the year"
     rows = [(5, body), (9, body + " again"), (9, "something else entirely that has nothing to do with animals in a forest"), (11, "Z z z z"), (11, "Z z z z"), (11, "Z z z z end of it all"), (None, "a row without an id that stays"), (None, "A row without an id that stays")]
-    own = ["found", "score", "lang_pred", "n_pieces", "ids_crc32", "round_trip", "piece_ids", "id", "kinds", "node", "component", "class_id", "rate", "copies", "n_bytes_fallback", "labels", "odd name"]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", *[f"'x' AS `{c}`" for c in own])
+    own = ["found", "score", "lang_pred", "n_pieces", "ids_crc32", "round_trip", "piece_ids", "id", "kinds", "node", "component", "class_id", "rate", "copies", "n_bytes_fallback", "labels", "odd name", "_mark", "_kept", "_same", "_same_mark", "_kept_mark", "_row", "row", "_mix_source", "mix_source", "_mix_rate", "_mix_copy", "col", "size", "source_size", "a.b", "_text", "_id"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", *[f"'x {c}' AS `{c}`" for c in own])
     kept = P.drop_near_duplicates(spark, docs, "")
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, body), rows[2], (11, "Z z z z"), rows[5], (None, min(rows[6][1], rows[7][1], key=lambda t: __import__("hashlib").md5(t.encode()).hexdigest()))], key=str)
     for name, stage in P.STAGES:
@@ -55,3 +55,5 @@ def test_rows_are_decided_by_themselves_whatever_their_columns(spark):
         assert len(set(out.columns)) == len(out.columns) and set(docs.columns) <= set(out.columns)
         docs = out if name == "mixing sources" else docs
         assert out.count() > 0, name
+        if name != "SentencePiece":
+            assert all(tuple(r)[4:] == tuple(f"x {c}" for c in own) for r in out.collect()), name
