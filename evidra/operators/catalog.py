@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from . import mentions
 
 
 def aliases(companies: DataFrame, code: str, columns: Sequence[str]) -> DataFrame:
@@ -26,18 +27,18 @@ def resolve_direct(requests: DataFrame, alias_table: DataFrame, value: str = "va
     return joined.select(*requests.columns, F.when(F.col("_n") == 1, F.col("_code")).alias("code"), status.alias("status"))
 
 
-def resolve_contains(requests: DataFrame, alias_table: DataFrame, value: str = "value", least: int = 2, largest_side: int = 100_000) -> DataFrame:
+def resolve_contains(requests: DataFrame, alias_table: DataFrame, value: str = "value", least: int = 2) -> DataFrame:
     """Exact keys first; the rest by containment of keys, as (requests..., code, matched): exact, part or null.
 
-    The part that needs containment compares with every alias; the alias table (a dimension) is checked to be small.
+    The distinct keys that no alias equals are sought in all aliases at once, so tables of any size can be resolved.
     """
     keyed = requests.withColumn("_key", T.lookup_key(F.col(value)))
     exact = keyed.join(alias_table, F.col("_key") == F.col("alias")).select(*requests.columns, "code", F.lit("exact").alias("matched"))
     rest = keyed.join(alias_table, F.col("_key") == F.col("alias"), "left_anti")
-    if alias_table.count() > largest_side:
-        raise ValueError("containment needs a dimension table; look names up exactly instead")
-    part = rest.join(F.broadcast(alias_table), (F.length("_key") >= least) & F.contains(F.col("alias"), F.col("_key")), "left")
-    return exact.unionByName(part.select(*requests.columns, "code", F.when(F.col("code").isNotNull(), "part").alias("matched")))
+    parts = mentions.contained(rest, F.col("_key"), alias_table, "alias", least).select(F.col("needle").alias("_needle"), F.col("value").alias("_alias"))
+    coded = parts.join(alias_table, F.col("_alias") == F.col("alias")).select("_needle", "code")
+    held = rest.join(coded, F.col("_key") == F.col("_needle"), "left")
+    return exact.unionByName(held.select(*requests.columns, "code", F.when(F.col("code").isNotNull(), "part").alias("matched")))
 
 
 def in_scope(companies: DataFrame, scope_type: str, values: Sequence[str], code: str, column: str | None = None, documents: DataFrame | None = None) -> DataFrame:

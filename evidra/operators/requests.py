@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from . import mentions
 
 #: Names of the periodic reports.
 REPORT_TYPES = {
@@ -147,11 +148,11 @@ def ambiguous_families(companies: DataFrame, name: str, code: str, length: int =
 
 
 def longest_mention(questions: DataFrame, names: DataFrame, question: str, text: str, name: str, code: str) -> DataFrame:
-    """(question, code, name): the longest name that a question's key contains; ties go to the smaller name. names is a dimension."""
-    keyed = names.select(T.match_key(F.col(name)).alias("_key"), F.col(name).alias("_name"), F.col(code).alias("_code")).where(F.length("_key") >= 2)
-    hits = questions.withColumn("_text", T.match_key(F.col(text))).join(F.broadcast(keyed), F.contains(F.col("_text"), F.col("_key")))
-    best = F.row_number().over(Window.partitionBy(question).orderBy(F.desc(F.length("_key")), "_name", "_code"))
-    return hits.withColumn("_n", best).where("_n = 1").select(question, F.col("_code").alias("code"), F.col("_name").alias("name"))
+    """(question, code, name): the longest name whose key a question's key contains; ties go to the smaller name, then code."""
+    keyed = names.select(T.match_key(F.col(name)).alias("_key"), F.col(name).alias("_name"), F.col(code).alias("_code"))
+    places = mentions.occurrences(questions, text, names, name, [question]).select(question, F.col("name").alias("_key")).distinct()
+    longest = F.min(F.struct(-F.length("_key"), "_name", "_code")).alias("_best")
+    return places.join(keyed, "_key").groupBy(question).agg(longest).select(question, F.col("_best._code").alias("code"), F.col("_best._name").alias("name"))
 
 
 def is_index_record(field: Column) -> Column:
