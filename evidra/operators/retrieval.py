@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .vectors import top_k as search
 
 #: The constant of reciprocal ranks, weights of query and keyword scores, thresholds of qualification.
 RRF_K = 60
@@ -22,8 +23,6 @@ LEAST_QUERY, NEAR_BEST_QUERY, NEAR_BEST_FINAL = 0.55, 0.85, 0.90
 DENSE, KEYWORD, KEPT = 24, 12, 10
 #: Units that mark a text as evidence.
 EVIDENCE_UNITS = ("백만원", "억원", "천원", "원", "%", "명", "주")
-#: Vectors of questions of at most so many rows are broadcast to the chunks.
-FEW_QUESTIONS = 10_000
 
 
 def unit(v: Column) -> Column:
@@ -48,22 +47,6 @@ def hashed_vector(c: Column, size: int = 256) -> Column:
     return unit(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double")))
 
 
-def search(chunks: DataFrame, questions: DataFrame, keys: Sequence[str], k: int, vector: str = "vector", query_vector: str = "query_vector", chunk: str = "chunk_id", per: Sequence[str] = ()) -> DataFrame:
-    """(questions' columns but the vector, per..., chunk, score, rank): exact top k by cosine among chunks equal on keys.
-
-    The filter comes before the ranking, so no candidate is lost to it. With ``per``, k chunks for each of its values.
-    """
-    few = questions.limit(FEW_QUESTIONS + 1).count() <= FEW_QUESTIONS
-    questions, chunks = questions.withColumn(query_vector, unit(F.col(query_vector))), chunks.withColumn(vector, unit(F.col(vector)))  # once a row, not once a pair
-    side = F.broadcast(questions) if few else questions
-    joined = chunks.join(side, list(keys)) if keys else chunks.crossJoin(side)
-    score = F.round(dot(F.col(vector), F.col(query_vector)), 6)
-    groups = list(dict.fromkeys([*[c for c in questions.columns if c != query_vector], *per]))
-    scored = joined.select(*groups, chunk, score.alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("score"), chunk)))
-    return ranked.where(F.col("rank") <= k)
-
-
 def merged_ranks(found: DataFrame, keys: Sequence[str], limit: int | None = None, chunk: str = "chunk_id") -> DataFrame:
     """Results of several partitions in one order: adds global_rank beside the local one."""
     out = found.withColumn("global_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), chunk)))

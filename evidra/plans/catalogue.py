@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import calc, catalog, chunking, coverage, datasets, grounding, retrieval
+from ..operators import calc, catalog, chunking, coverage, datasets, grounding, retrieval, vectors
+from ..shared import scratch
 from ..streaming import events as streams
 from .registry import QUERIES, SQL, money, query, t
 
@@ -29,6 +30,17 @@ s AS (SELECT question_id, request_id, label AS doc_id, vec_id AS chunk_id, round
 found AS (SELECT *, row_number() OVER (PARTITION BY question_id, request_id, doc_id ORDER BY score DESC, chunk_id) AS rank FROM s)"""
 
 
+@query("""WITH q AS (SELECT vec_id AS question, label, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT question, label, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]), 6) AS score FROM embeddings JOIN q USING (label)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, chunk_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
+def index_search(spark, sf_dir):
+    """Through the inverted file, sure: among the vectors of the question's label."""
+    e = t(spark, sf_dir, "embeddings")
+    index = vectors.build_index(e.select(F.col("vec_id").alias("chunk_id"), "label", F.col("embedding").alias("vector")), scratch(spark, "vector-index"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question"), "label", F.col("embedding").alias("query_vector"))
+    return vectors.indexed_top_k(index, asked, ["question"], ["label"], 10, sure=True)
+
+
 @query(f"WITH {_FOUND} SELECT question_id, request_id, doc_id, chunk_id, score, rank::INT AS rank FROM found WHERE rank <= 10")
 def vec_topk_filtered(spark, sf_dir):
     return _found(spark, sf_dir, 10)
@@ -43,10 +55,10 @@ def rrf_fusion(spark, sf_dir):
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query scores by one request's vector, keyword scores by that of its neighbour."""
-    found = _found(spark, sf_dir, 20)
-    other = found.select("question_id", "chunk_id", "request_id", F.col("score").alias("keyword_score")).withColumn("request_id", F.when(F.col("request_id") % 2 == 1, F.col("request_id") + 1).otherwise(F.col("request_id") - 1))
-    joined = found.join(other, ["question_id", "request_id", "chunk_id"], "left")
-    return joined.select("question_id", "request_id", "doc_id", "chunk_id", F.col("score").alias("query_score"), "keyword_score")
+    odd = F.col("request_id") % 2 == 1
+    pair = Window.partitionBy("question_id", "chunk_id")
+    other = F.when(odd, F.max(F.when(~odd, F.col("score"))).over(pair)).otherwise(F.max(F.when(odd, F.col("score"))).over(pair))
+    return _found(spark, sf_dir, 20).select("question_id", "request_id", "doc_id", "chunk_id", F.col("score").alias("query_score"), other.alias("keyword_score"))
 
 
 _SCORED = f"""{_FOUND}, top AS (SELECT * FROM found WHERE rank <= 20),
