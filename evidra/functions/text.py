@@ -131,12 +131,12 @@ def join_parts(texts: Column, most: int = 10_000, mark: str = "\n…") -> Column
     return F.when(F.length(joined) > most, F.concat(F.substring(joined, 1, most), F.lit(mark))).otherwise(joined)
 
 
-def snippet(c: Column | str, term: str, width: int = 180) -> Column:
+def snippet(c: Column | str, term: str | Column, width: int = 180) -> Column:
     """The text around the first hit of the term, case ignored; empty without a hit."""
-    text = _text(c)
-    at = F.locate(term.lower(), F.lower(text))
+    text, term = _text(c), F.lit(term) if isinstance(term, str) else term
+    at = F.position(F.lower(term), F.lower(text))
     start = F.greatest(at - width, F.lit(1))
-    return F.when(at > 0, F.substring(text, start, at + len(term) + width - start)).otherwise(F.lit(""))
+    return F.when(at > 0, F.substring(text, start, at + F.length(term) + width - start)).otherwise(F.lit(""))
 
 
 def row_line(cells: Column) -> Column:

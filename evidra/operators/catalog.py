@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
-from . import mentions
+from . import intervals, mentions
 
 
 def aliases(companies: DataFrame, code: str, columns: Sequence[str]) -> DataFrame:
@@ -69,7 +69,7 @@ def matches_period(key: Column, lower: Column, upper: Column, month: Column | No
 
 def documents_in_period(documents: DataFrame, requests: DataFrame, keys: Sequence[str], key: str) -> DataFrame:
     """(request, document) rows: equal on keys, the document's key within [lower, upper] of the request."""
-    return documents.join(requests, list(keys)).where(F.col(key).between(F.col("lower"), F.col("upper")))
+    return intervals.points_in(documents, key, requests, "lower", "upper", keys)
 
 
 def with_periodic(requested: DataFrame, periodic: DataFrame, request: str, document: str) -> DataFrame:

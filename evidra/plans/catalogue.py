@@ -380,6 +380,6 @@ def describe_by_source(spark, sf_dir):
     return t(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.median("n_chars").alias("mid"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"), F.count("*").alias("n"))
 
 
-from . import more, names  # noqa: E402  register the other queries
+from . import lookups, more, names  # noqa: E402  register the other queries
 
-__all__ = ["QUERIES", "SQL", "Window", "more", "names"]
+__all__ = ["QUERIES", "SQL", "Window", "lookups", "more", "names"]
