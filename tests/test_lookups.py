@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from evidra.operators import intervals, numbering, term_index
+from evidra.operators import comparisons, intervals, numbering, term_index
 
 
 def test_cover_is_the_interval(spark):
@@ -62,3 +63,26 @@ def test_lookups_equal_plain_search(spark, tmp_path, monkeypatch):
     for r in both:
         held = [k for k, text in rows if k is not None and text and "the" in text.lower() and "net" in text.lower() and k % 2 == r["year"]]
         assert (r["chunks"], r["documents"], r["docs"]) == (len(held), len({k % 3 for k in held}), sorted(held)[:2]) and r["term"] == "the + net"
+
+
+@pytest.mark.parametrize("block", [4, 1 << 18])
+def test_rows_in_a_row_do_not_depend_on_blocks(spark, block):
+    draw = random.Random(2)
+    rows = [(draw.choice(["a", "a", "a", "b", None]), draw.choice([None, *range(9)]), k) for k in range(60)]
+    got = comparisons.in_a_row(spark.createDataFrame(rows, "key string, at int, id int").selectExpr("*", "'x' AS block", "1 AS row").repartition(5), ["key"], [F.col("at"), F.col("id")], 3, block)
+    want = []
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want += [[r[2] for r in own[k : k + 3]] for k in range(len(own) - 2)]
+    assert sorted([r["id"] for r in x["rows"]] for x in got.collect()) == sorted(want)
+
+
+def test_groups_by_kind(spark):
+    rows = [(1, "r", "2020-01-01", 1, None), (1, "r", "2020-01-01", 2, "c"), (2, "r", "2020-02-01", 3, "c"), (3, "r", "2020-06-01", 4, "c"), (4, "r", None, 5, "")]
+    docs = spark.createDataFrame(rows, "company int, report string, date string, id int, chain string").withColumn("metrics", F.array(F.lit("m"), F.lit("k"), F.lit("m")))
+    ids = lambda kind, n: sorted(r["ids"] for r in comparisons.groups_of(docs, kind, n).collect())
+    assert ids("same_company_same_report_type", 2) == [] and ids("correction_chain", 3) == [[2, 3, 4]]
+    assert ids("same_company_same_metric", 2) == [[1, 2]] and ids("cross_company_same_report_type", 2) == [[2, 3]]
+    assert comparisons.groups_of(docs.limit(0), "correction_chain", 2).count() == 0
+    with pytest.raises(ValueError):
+        comparisons.groups_of(docs, "other", 2)
