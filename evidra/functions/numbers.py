@@ -51,7 +51,7 @@ def number_value(c: Column) -> Column:
 
 
 def normal_number(c: Column) -> Column:
-    """Without separators, leading zeros and a trailing zero fraction: 97,000.00 is 97000."""
+    """Without separators and a trailing zero fraction: 97,000.00 is 97000; leading zeros stay."""
     bare = F.regexp_replace(c, r"[,\s]", "")
     return F.regexp_replace(F.regexp_replace(bare, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 

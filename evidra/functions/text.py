@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,23 +112,27 @@ def receipt_number(c: Column | str) -> Column:
     return F.nullif(F.regexp_extract(_text(c), r"(?<!\d)(\d{14})(?!\d)", 1), F.lit(""))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def common_prefix(texts: Column, least: int = 20, most: int = 400) -> Column:
     """Longest common beginning of at most that many characters, cut at its last blank; empty if shorter than least."""
-    heads = F.transform(texts, lambda t: F.substring(t, 1, most))
-    first = F.element_at(heads, 1)
-    shared = F.filter(F.sequence(F.lit(0), F.length(first)), lambda n: F.forall(heads, lambda t: F.substring(t, F.lit(1), n) == F.substring(first, F.lit(1), n)))
-    head = F.substring(first, F.lit(1), F.array_max(shared))
-    whole = F.forall(heads, lambda t: t == head)
-    cut = F.when(whole, head).otherwise(F.regexp_extract(head, r"(?s)^(.*\s)", 1))
-    return F.when((F.size(texts) > 1) & (F.length(cut) >= least), cut).otherwise(F.lit(""))
+
+    def shared(heads: Column, first: Column) -> Column:
+        alike = F.filter(F.sequence(F.lit(0), F.length(first)), lambda n: once(F.substring(first, F.lit(1), n), lambda own: F.forall(heads, lambda t: F.startswith(t, own))))
+        return once(F.substring(first, F.lit(1), F.array_max(alike)), lambda head: F.when(F.forall(heads, lambda t: t == head), head).otherwise(F.regexp_extract(head, r"(?s)^(.*\s)", 1)))
+
+    cut = once(F.transform(texts, lambda t: F.substring(t, 1, most)), lambda heads: once(F.element_at(heads, 1), lambda first: shared(heads, first)))
+    return once(cut, lambda c: F.when((F.size(texts) > 1) & (F.length(c) >= least), c).otherwise(F.lit("")))
 
 
 def join_parts(texts: Column, most: int = 10_000, mark: str = "\n…") -> Column:
     """Parts in order, one a line, each but the first without the beginning they share; cut with a mark if too long."""
-    lead = common_prefix(texts)
-    parts = F.transform(texts, lambda t, i: F.when((i > 0) & (F.length(lead) > 0) & F.startswith(t, lead), F.substring(t, F.length(lead) + 1, F.length(t))).otherwise(t))
-    joined = F.array_join(parts, "\n")
-    return F.when(F.length(joined) > most, F.concat(F.substring(joined, 1, most), F.lit(mark))).otherwise(joined)
+    rest = lambda t, lead: F.when((F.length(lead) > 0) & F.startswith(t, lead), F.substring(t, F.length(lead) + 1, F.length(t))).otherwise(t)
+    joined = once(common_prefix(texts), lambda lead: F.array_join(F.transform(texts, lambda t, i: F.when(i > 0, rest(t, lead)).otherwise(t)), "\n"))
+    return once(joined, lambda j: F.when(F.length(j) > most, F.concat(F.substring(j, 1, most), F.lit(mark))).otherwise(j))
 
 
 def snippet(c: Column | str, term: str | Column, width: int = 180) -> Column:

@@ -236,10 +236,12 @@ def chain_counts(spark, sf_dir):
     return catalog.chain_counts(t(spark, sf_dir, "conversations"), "conv_id")
 
 
-@query("""SELECT c_custkey AS company, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
-UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS company FROM orders WHERE year(o_orderdate) <= 1996), b AS (SELECT DISTINCT o_custkey AS company FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT company, 'left' AS side FROM a WHERE company NOT IN (SELECT company FROM b) UNION ALL SELECT company, 'right' FROM b WHERE company NOT IN (SELECT company FROM a)""")
 def anti_join_audit(spark, sf_dir):
-    return catalog.one_sided(t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("company")), t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company")), "company")
+    """Companies with early orders and those with urgent ones: keys of either side alone."""
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company"), "o_orderdate", "o_orderpriority")
+    return catalog.one_sided(o.where(F.year("o_orderdate") <= 1996).select("company"), o.where("o_orderpriority = '1-URGENT'").select("company"), "company")
 
 
 @query(r"""WITH k AS (SELECT doc_id, row_number() OVER (PARTITION BY sha1(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g'))) ORDER BY doc_id) AS n FROM documents) SELECT doc_id FROM k WHERE n = 1""")
@@ -363,7 +365,8 @@ def source_budget(spark, sf_dir):
     return grounding.within_budget(t(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", 400, 1000, 3)
 
 
-@query()
+@query("""WITH p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS place FROM conversations)
+SELECT conv_id, place // 3 AS bundle, list(turn ORDER BY place) AS ids, left(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY place), 2000) AS context FROM p GROUP BY 1, 2""")
 def context_bundles(spark, sf_dir):
     rows = t(spark, sf_dir, "conversations")
     return datasets.bundles(rows, ["conv_id"], ["turn"], "turn", "text", 3, 2000)

@@ -338,13 +338,15 @@ def fuse_merged(spark, sf_dir):
     return retrieval.fuse_merged(found).withColumn("fusion", F.round("fusion", 9))
 
 
-@query("""SELECT doc_id, round((0.6 * 0.75 + 0.25 * least(1.0, 0.8 * tm) + 0.15 * CASE WHEN contains(k, 'idiot') THEN 1 ELSE 0 END + 0.05 * eb)::DOUBLE / 1.05, 6) AS score FROM (
-SELECT doc_id, k, (CASE WHEN contains(k, 'the') THEN 1.0 ELSE 0 END + CASE WHEN contains(k, 'que') THEN 1.0 ELSE 0 END) / 2 AS tm, CASE WHEN contains(text, '|') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(text, '\\d') THEN 0.3 ELSE 0 END + CASE WHEN contains(text, '%') THEN 0.2 ELSE 0 END AS eb
-FROM (SELECT doc_id, text, regexp_replace(lower(text), '[\\s\\-_()/\\[\\]{}]+', '', 'g') AS k FROM documents WHERE text IS NOT NULL))""")
+@query("""WITH k AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(lower(coalesce(text, '')), '[\\s\\-_()/\\[\\]{}]+', '', 'g') AS k, (doc_id % 13)::DOUBLE / 10 AS d FROM documents),
+p AS (SELECT *, ((contains(k, 'the'))::INT + (contains(k, 'que'))::INT)::DOUBLE / 2 AS topics, ((contains(k, 'the'))::INT + (contains(k, 'eau'))::INT + (contains(k, 'zzz'))::INT)::DOUBLE / 3 AS asked,
+ (0.5 * contains(text, '|')::INT + 0.3 * regexp_matches(text, '\\d')::INT + 0.2 * regexp_matches(text, '백만원|억원|천원|원|%|명|주')::INT)::DOUBLE AS evidence FROM k)
+SELECT doc_id, round((0.6::DOUBLE * greatest(0, least(1, 1 - d)) + 0.25::DOUBLE * least(1.0, 0.8::DOUBLE * topics + 0.2::DOUBLE * asked) + 0.15::DOUBLE * contains(k, 'idiot')::INT + 0.05::DOUBLE * evidence) / 1.05::DOUBLE, 6) AS score FROM p""")
 def hybrid_scores(spark, sf_dir):
     words = lambda *w: F.array(*[F.lit(x) for x in w])
-    score = retrieval.hybrid_score(F.lit(0.25), F.col("text"), words("the", "que"), words("idiot"), F.lit(""))
-    return t(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", score.alias("score"))
+    distance = (F.col("doc_id") % 13).cast("double") / 10
+    score = retrieval.hybrid_score(distance, F.coalesce("text", F.lit("")), words("the", "que"), words("idiot"), F.lit("the Eau, the zzz x"))
+    return t(spark, sf_dir, "documents").select("doc_id", score.alias("score"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice WHEN o_orderkey % 3 = 1 THEN greatest(o_totalprice, o_custkey) ELSE 0 END AS score FROM orders WHERE o_totalprice IS NOT NULL""")
@@ -379,10 +381,22 @@ def best_chunk_per_document(spark, sf_dir):
     return out.select("l_orderkey", F.round("evidence_score", 6).alias("evidence_score"))
 
 
-@query("""SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn, text) AS text, max(turn) AS score, count(*) AS parts FROM conversations GROUP BY 1 HAVING sum(length(text) + 1) <= 10000 AND count(*) = 1""")
+_LINE = "'Lines of order number ' || l_orderkey || ', all amounts in thousands: ' || l_returnflag || ' ' || l_quantity::INT || ' of part ' || l_partkey"
+
+
+@query(f"""WITH parts AS (SELECT 'turns' AS kind, conv_id AS id, turn AS part, turn AS score, coalesce(text, '') AS text, 1500 AS most FROM conversations UNION ALL SELECT 'lines', l_orderkey, l_linenumber, l_linenumber, {_LINE}, 150 FROM lineitem),
+t AS (SELECT kind, id, most, list(left(text, 400) ORDER BY part, text) AS heads, list(text ORDER BY part, text) AS texts, max(score) AS score, count(*) AS parts FROM parts GROUP BY 1, 2, 3),
+h AS (SELECT *, list_max(list_filter(range(0, length(heads[1]) + 1), lambda n: len(list_distinct(list_transform(heads, lambda x: left(x, n)))) = 1 AND list_min(list_transform(heads, lambda x: length(x))) >= n)) AS n FROM t),
+l AS (SELECT *, CASE WHEN len(list_distinct(heads)) = 1 THEN heads[1] ELSE regexp_extract(left(heads[1], n), '(?s)^(.*[[:space:]])', 1) END AS lead FROM h),
+c AS (SELECT *, CASE WHEN parts > 1 AND length(lead) >= 20 THEN length(lead) ELSE 0 END AS drop FROM l),
+j AS (SELECT *, texts[1] || CASE WHEN parts > 1 THEN chr(10) || array_to_string(list_transform(texts[2:], lambda x: substring(x, drop + 1)), chr(10)) ELSE '' END AS joined FROM c)
+SELECT kind, id, CASE WHEN length(joined) > most THEN left(joined, most) || chr(10) || '…' ELSE joined END AS text, score, parts FROM j""")
 def merged_tables(spark, sf_dir):
-    out = retrieval.merge_tables(t(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.col("turn").alias("score")), ["conv_id"], "turn", "text", "score")
-    return out.where("parts = 1 AND length(text) <= 9999")
+    turns = t(spark, sf_dir, "conversations").select(F.lit("turns").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").alias("part"), "text", F.col("turn").alias("score"))
+    text = F.concat(F.lit("Lines of order number "), "l_orderkey", F.lit(", all amounts in thousands: "), "l_returnflag", F.lit(" "), F.col("l_quantity").cast("int"), F.lit(" of part "), "l_partkey")
+    lines = t(spark, sf_dir, "lineitem").select(F.lit("lines").alias("kind"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("part"), text.alias("text"), F.col("l_linenumber").cast("long").alias("score"))
+    merged = [retrieval.merge_tables(rows, ["kind", "id"], "part", "text", "score", most) for rows, most in ((turns, 1500), (lines, 150))]
+    return merged[0].unionByName(merged[1])
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'no_document' WHEN 1 THEN 'insufficient_relevance' WHEN 2 THEN 'no_chunk_selected' WHEN 3 THEN 'partial' ELSE 'covered' END AS status FROM orders""")
@@ -394,21 +408,28 @@ def coverage_status(spark, sf_dir):
 
 # ---- tables and chunks
 
-_RULES = (("brand_one", ("Brand#1",)), ("widget", ("widget", "gadget")))
+_KIND_WORDS = [w for _, words in tables.TABLE_KINDS for w in words]
+_LISTED = "[" + ", ".join(f"'{w}'" for w in _KIND_WORDS) + ", 'plain', '목차', '-----']"
+_KIND_CASE = " ".join(f"WHEN regexp_matches(title || chr(10) || body, '{'|'.join(words)}') THEN '{kind}'" for kind, words in tables.TABLE_KINDS)
 _PART_TEXT = ("p_name", "p_brand", "p_type")
 
 
-@query("""WITH k AS (SELECT *, CASE WHEN contains(p_brand, 'Brand#1') OR contains(p_name, 'Brand#1') THEN 'brand_one' WHEN contains(p_name, 'widget') OR contains(p_name, 'gadget') THEN 'widget' ELSE 'general_table' END AS kind,
- concat_ws(' | ', p_brand, p_type, p_size, round(p_retailprice)::BIGINT) AS body FROM part)
-SELECT p_partkey, kind, CASE p_size % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE CASE WHEN len(regexp_extract_all(body, '\\d[\\d,.]*')) >= 3 THEN 'medium' WHEN length(body) < 80 THEN 'low' ELSE 'medium' END END AS priority,
-p_size >= 2 AND length(body) >= 10 AND length(regexp_replace(body, '[-|\\s]', '', 'g')) >= 5 AS searchable FROM k""")
+@query(f"""WITH w AS (SELECT *, {_LISTED} AS words FROM part), k AS (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN words[p_partkey // 4 % len(words) + 1] ELSE p_type END AS title,
+ CASE WHEN p_partkey % 5 = 0 THEN '-----' || chr(10) || '------ | -------' ELSE words[p_partkey % len(words) + 1] || ' | ' || p_size || CASE WHEN p_size % 2 = 0 THEN ' | ' || round(p_retailprice)::BIGINT || ' | 7,1' ELSE '' END || repeat(' x', p_size) END AS body FROM w),
+n AS (SELECT *, CASE {_KIND_CASE} ELSE 'general_table' END AS kind FROM k)
+SELECT p_partkey, kind, CASE kind WHEN 'financial_table' THEN 'high' WHEN 'business_table' THEN 'high' WHEN 'governance_table' THEN 'medium' WHEN 'document_admin' THEN 'low' ELSE
+ CASE WHEN len(regexp_extract_all(body, '\\d[\\d,.]*')) >= 3 THEN 'medium' WHEN length(body) < 80 OR trim(title) IN ('목 차', '목차') THEN 'low' ELSE 'medium' END END AS priority,
+p_size >= 2 AND length(body) >= 10 AND trim(title) NOT IN ('목 차', '목차') AND len(regexp_extract_all(body, '-{{5,}}')) < 3 AND length(regexp_replace(body, '[-|\\s]', '', 'g')) >= 5 AS searchable FROM n""")
 def table_classes(spark, sf_dir):
-    body = F.concat_ws(" | ", "p_brand", "p_type", F.col("p_size").cast("string"), F.round("p_retailprice").cast("long").cast("string"))
-    m = F.col("p_size") % 5
-    kind = F.when(m == 0, "financial_table").when(m == 1, "governance_table").when(m == 2, "document_admin").otherwise("general_table")
+    """Titles and bodies that hold each word of every kind, contents lists, rules and numbers."""
     from ..operators.chunking import search_priority
 
-    return t(spark, sf_dir, "part").select("p_partkey", tables.table_kind(F.col("p_name"), body, _RULES).alias("kind"), search_priority(body, kind, F.col("p_name")).alias("priority"), tables.searchable_table(F.col("p_name"), F.col("p_size"), body).alias("searchable"))
+    words, key, size = F.array(*[F.lit(w) for w in [*_KIND_WORDS, "plain", "목차", "-----"]]), F.col("p_partkey"), F.col("p_size")
+    title = F.when(key % 4 == 0, F.get(words, (F.floor(key / 4) % F.size(words)).cast("int"))).otherwise(F.col("p_type"))
+    numbers = F.when(size % 2 == 0, F.concat(F.lit(" | "), F.round("p_retailprice").cast("long"), F.lit(" | 7,1"))).otherwise("")
+    body = F.when(key % 5 == 0, F.lit("-----\n------ | -------")).otherwise(F.concat(F.get(words, (key % F.size(words)).cast("int")), F.lit(" | "), size, numbers, F.repeat(F.lit(" x"), size)))
+    rows = t(spark, sf_dir, "part").select("p_partkey", "p_size", title.alias("title"), body.alias("body")).withColumn("kind", tables.table_kind(F.col("title"), F.col("body")))
+    return rows.select("p_partkey", "kind", search_priority(F.col("body"), F.col("kind"), F.col("title")).alias("priority"), tables.searchable_table(F.col("title"), size, F.col("body")).alias("searchable"))
 
 
 @query("""SELECT p_partkey, concat_ws(chr(10), 'name: ' || trim(p_name), 'size: ' || p_size, p_type) AS text FROM part""")
@@ -442,13 +463,16 @@ def chunk_audit(spark, sf_dir):
 # ---- grounding and datasets
 
 
-@query("""WITH c AS (SELECT o_orderkey, o_custkey, o_orderkey % 2 AS k FROM orders) SELECT o_orderkey, CASE WHEN k = 0 THEN [o_custkey::VARCHAR] ELSE [] END AS unsupported, CASE WHEN k = 0 OR o_orderkey % 5 = 0 THEN 'RETRY' ELSE 'PASS' END AS verdict FROM c WHERE o_custkey > 9 AND o_custkey NOT BETWEEN 1900 AND 2100""")
+@query("""WITH c AS (SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 7 < 3 THEN 0 ELSE 1000 END AS n, o_orderkey % 2 AS known, o_orderkey % 3 = 0 AS bare FROM orders),
+u AS (SELECT *, CASE WHEN known = 1 OR (bare AND (n < 10 OR n BETWEEN 1900 AND 2100)) THEN [] ELSE [n::VARCHAR] END AS unsupported FROM c)
+SELECT o_orderkey, unsupported, CASE WHEN len(unsupported) > 0 OR o_orderkey % 5 = 0 THEN 'RETRY' ELSE 'PASS' END AS verdict FROM u""")
 def validation_verdict(spark, sf_dir):
-    k, key = F.col("o_orderkey") % 2, F.col("o_custkey").cast("string")
-    answer, evidence = F.concat(F.lit("It is "), key, F.lit("% now")), F.concat(F.lit("known: "), F.when(k == 0, F.lit("nothing")).otherwise(key))
+    """Numbers with a percent sign always count; bare ones not if they are one digit or a year."""
+    n = (F.col("o_custkey") + F.when(F.col("o_orderkey") % 7 < 3, 0).otherwise(1000)).cast("string")
+    sign = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("%")
+    answer, evidence = F.concat(F.lit("It is "), n, sign, F.lit(" now")), F.concat(F.lit("known: "), F.when(F.col("o_orderkey") % 2 == 0, F.lit("nothing")).otherwise(n))
     missing = grounding.unsupported_numbers(answer, evidence)
-    rows = t(spark, sf_dir, "orders").where("o_custkey > 9 AND o_custkey NOT BETWEEN 1900 AND 2100")
-    return rows.select("o_orderkey", missing.alias("unsupported"), grounding.verdict(answer, evidence, missing, F.col("o_orderkey") % 5 != 0, F.lit(False)).alias("verdict"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", missing.alias("unsupported"), grounding.verdict(answer, evidence, missing, F.col("o_orderkey") % 5 != 0, F.lit(False)).alias("verdict"))
 
 
 @query("""SELECT doc_id, length(regexp_replace(lower(coalesce(text, '')), '[\\s\\-_()/\\[\\]{}]+', '', 'g')) > 0 AND (contains(regexp_replace(lower(coalesce(text, '')), '[\\s\\-_()/\\[\\]{}]+', '', 'g'), 'theand') OR contains(regexp_replace(lower(coalesce(text, '')), '[\\s\\-_()/\\[\\]{}]+', '', 'g'), 'token')) AS covered FROM documents""")
