@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .versions import VersionedTable
+
 UNIVERSE = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("corp_code", "stock_code", "corp_name", "listed_name", "corp_eng_name", "market", "industry")]
     + [T.StructField("sector_no", T.IntegerType()), T.StructField("sector", T.StringType()), T.StructField("listing_date", T.DateType()), T.StructField("fiscal_month", T.StringType())]
@@ -85,17 +87,18 @@ def write_vectors(chunks: DataFrame, path: str, company: str = "corp_name", expe
     return stored
 
 
-def upsert_vectors(chunks: DataFrame, path: str, company: str = "corp_name") -> DataFrame:
-    """Adds the chunks whose ids the vector table lacks and returns the table; run again after a loss, it adds what is left.
+def upsert_vectors(chunks: DataFrame, path: str, company: str = "corp_name", name: str | None = None) -> DataFrame:
+    """Adds the chunks whose ids the versioned vector table at ``path`` lacks, as one batch, and returns the table.
 
-    Of rows that repeat an id one is added. Only ids of the stored table are read.
+    A batch that is there by its name (unless given: by the checksum of its rows) is not added again, and of an id that
+    two racing batches hold the table shows one row, so lost, repeated and racing runs leave one copy. For rows that are
+    to replace older ones, commit to the table itself.
     """
-    spark = chunks.sparkSession
-    fresh = chunks.dropDuplicates(["chunk_id"])
-    if found_path(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select("chunk_id"), "chunk_id", "left_anti")
-    fresh.write.mode("append").partitionBy(company).parquet(path)
-    return spark.read.parquet(path)
+    table = VersionedTable(chunks.sparkSession, path, "chunk_id", company)
+    name = name or "-".join(map(str, table.measure(chunks)))
+    fresh = chunks.join(table.read().select("chunk_id"), "chunk_id", "left_anti") if table.versions() else chunks
+    table.commit(fresh, name)
+    return table.read()
 
 
 def found_path(spark: SparkSession, path: str) -> str | None:
