@@ -26,6 +26,8 @@ MARK = "▁"
 PENALTY = 10.0
 #: Distinct segments remembered by a worker; the memory is emptied when full.
 REMEMBERED = 150_000
+#: Places of a group of segments that are walked together, and signs of the texts that are cut into segments at once.
+CELLS, SIGNS = 1 << 18, 1 << 20
 SEGMENT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
@@ -130,7 +132,7 @@ class Pieces:
         while at < len(order):
             longest = max(16, 2 * len(raw[order[at]]))
             stop = at
-            while stop < len(order) and len(raw[order[stop]]) <= longest and (stop - at) * longest < 1 << 20:
+            while stop < len(order) and len(raw[order[stop]]) <= longest and (stop - at) * longest < CELLS:
                 stop += 1
             group = order[at:stop]
             for k, got in zip(group, self._together([raw[k] for k in group]), strict=True):
@@ -232,6 +234,19 @@ class Pieces:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def encoded(voc: Pieces, texts: Sequence[str | None]) -> Iterator[tuple[bytes, float]]:
+    """voc.encode of the texts, some at a time, so that the segments of a whole batch are never held at once."""
+    held: list[str | None] = []
+    size = 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= SIGNS:
+            yield from voc.encode(held)
+            held, size = [], 0
+    yield from voc.encode(held)
+
+
 def encode_texts(docs: DataFrame, vocabulary: Pieces, id_column: str = "doc_id", text: str = "text", keep: Sequence[str] = (), ids: bool = False) -> DataFrame:
     """(id, keep..., [piece_ids], n_pieces, n_bytes_fallback, ids_crc32, score, round_trip): one row for each row of docs."""
     spark = docs.sparkSession
@@ -247,7 +262,7 @@ def encode_texts(docs: DataFrame, vocabulary: Pieces, id_column: str = "doc_id",
             texts = b.column(0).to_pylist()
             out: dict[str, list[Any]] = {"n_pieces": [], "n_bytes_fallback": [], "ids_crc32": [], "score": [], "round_trip": []}
             numbers = []
-            for t, (packed, total) in zip(texts, voc.encode(texts), strict=True):
+            for t, (packed, total) in zip(texts, encoded(voc, texts), strict=True):
                 got = np.frombuffer(packed, "<u4")
                 out["n_pieces"].append(len(got)), out["n_bytes_fallback"].append(int(fallback[got].sum()))
                 out["ids_crc32"].append(zlib.crc32(packed)), out["score"].append(total), out["round_trip"].append(voc.decode(packed) == (t or ""))
