@@ -50,13 +50,37 @@ def points_in(points: DataFrame, point: str, intervals: DataFrame, lower: str, u
     nothing; intervals that repeat meet each. Other columns of the same name on both sides are an error, as in any join.
     """
     level, bucket = (free_name(c, points, intervals) for c in ("level", "bucket"))
+    placed, cut = _meeting(points, point, intervals, lower, upper, level, bucket)
+    return placed.join(cut, [*keys, level, bucket]).drop(level, bucket)
+
+
+def counts_in(points: DataFrame, point: str, intervals: DataFrame, ids: Sequence[str], lower: str, upper: str, by: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """(ids..., by..., points, first, last): how many points with each value of ``by`` an interval holds, its least and greatest.
+
+    The summary of points_in's pairs without the pairs: points are summed up by bucket first, so an interval meets a few
+    sums for each value of ``by``, however many points it holds. ``ids`` tell the intervals apart (those alike in them
+    are summed together) and must not be among ``by``. Intervals without points have no row; null points, bounds and keys
+    meet nothing, null ids and values of ``by`` stay.
+    """
+    level, bucket, n, first, last = (free_name(c, points, intervals) for c in ("level", "bucket", "points", "first", "last"))
+    own = list(dict.fromkeys([*keys, *by]))
+    same = points.groupBy(*[named(c) for c in dict.fromkeys([*own, point])]).agg(F.count("*").alias(n))
+    held = intervals.select(*[named(c) for c in dict.fromkeys([*ids, *keys, lower, upper])])
+    placed, cut = _meeting(same, point, held, lower, upper, level, bucket)
+    sums = placed.groupBy(*[named(c) for c in own], named(level), named(bucket)).agg(F.sum(named(n)).alias(n), F.min(named(point)).alias(first), F.max(named(point)).alias(last))
+    met = sums.join(cut.select(*[named(c) for c in dict.fromkeys([*ids, *keys])], named(level), named(bucket)), [*keys, level, bucket])
+    return met.groupBy(*[named(c) for c in [*ids, *by]]).agg(F.sum(named(n)).alias("points"), F.min(named(first)).alias("first"), F.max(named(last)).alias("last"))
+
+
+def _meeting(points: DataFrame, point: str, intervals: DataFrame, lower: str, upper: str, level: str, bucket: str) -> tuple[DataFrame, DataFrame]:
+    """Points and intervals by level and bucket: points in those of all levels that some interval uses."""
     cut = intervals.withColumn(bucket, F.explode(cover(named(lower), named(upper))))
     cut = stored(cut.select(*[named(c) for c in intervals.columns], F.col(f"`{bucket}`.level").alias(level), F.col(f"`{bucket}`.bucket").alias(f"{bucket}")), "interval-buckets")
     used = sorted(r[0] for r in cut.select(level).distinct().collect())  # at most TOP + 1
     at = F.array(*[F.struct(F.lit(k).alias("level"), _bucket(named(point).cast("long"), k).alias("bucket")) for k in used]) if used else F.array().cast("array<struct<level:int,bucket:bigint>>")
     placed = points.where(named(point).isNotNull()).withColumn(bucket, F.explode(at))
     placed = placed.select(*[named(c) for c in points.columns], F.col(f"`{bucket}`.level").alias(level), F.col(f"`{bucket}`.bucket").alias(f"{bucket}"))
-    return placed.join(cut, [*keys, level, bucket]).drop(level, bucket)
+    return placed, cut
 
 
 def documents_of(documents: DataFrame, requests: DataFrame, keys: Sequence[str], key: str, lower: str = "lower", upper: str = "upper", month: str | None = None, fine: str | None = None) -> DataFrame:

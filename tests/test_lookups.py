@@ -31,6 +31,33 @@ def test_points_meet_their_intervals_without_comparing_all(spark):
     assert intervals.points_in(a, "at", b.limit(0), "low", "high", ["key"]).count() == 0
 
 
+def test_intervals_are_summed_up_without_their_pairs(spark):
+    draw = random.Random(2)
+    points = [(draw.choice(["x", "y", None]), draw.choice(["o", "f", None]), draw.choice([None, *range(-40, 900, 7)])) for _ in range(500)]
+    asked = [(draw.choice([k, None]), draw.choice(["x", "y", None]), low, low + draw.choice([0, 30, 500, -1])) for k in range(60) for low in [draw.randint(-50, 900)]] + [(99, "x", -(10**17), 10**17), (99, "x", -(10**17), 10**17), (98, "y", None, 5)]
+    a, b = spark.createDataFrame(points, "key string, status string, at long"), spark.createDataFrame(asked, "q long, key string, low long, high long")
+    for keys in (["key"], []):
+        met = {}
+        for q, k, low, high in asked:
+            for k2, status, at in points:
+                if at is not None and low is not None and low <= at <= high and (not keys or k == k2 is not None):
+                    met.setdefault((q, status), []).append(at)
+        got = intervals.counts_in(a, "at", b, ["q"], "low", "high", ["status"], keys).collect()
+        assert {(r["q"], r["status"]): (r["points"], r["first"], r["last"]) for r in got} == {x: (len(v), min(v), max(v)) for x, v in met.items()} and len(got) == len(met)
+    assert intervals.counts_in(a, "at", b.limit(0), ["q"], "low", "high").count() == 0
+
+
+def test_requests_for_all_documents_cost_no_pairs(spark, tmp_path, monkeypatch):
+    """2,000 customers with 10 orders of one day each ask for all 20,000 of them: 40 million pairs, 2,000 rows."""
+    from evidra.plans import lookups
+
+    o = spark.range(20_000).select((F.col("id") % 2000 * 97).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.to_timestamp(F.lit("1995-01-01")).alias("o_orderdate"))
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(intervals, "points_in", None)  # a row for each pair
+    got = lookups.interval_documents(spark, str(tmp_path)).groupBy("documents", "first", "last").count().collect()
+    assert [tuple(r) for r in got] == [(20_000, 19_950_101, 19_950_101, 2000)]
+
+
 def test_numbers_follow_the_order(spark):
     rows = spark.createDataFrame([(k * 37 % 100, "x") for k in range(100)], "k long, row_id string").repartition(7)
     got = numbering.numbered(rows, [F.desc("k")], "row_id", 5)
