@@ -7,9 +7,11 @@ with it as one matrix product, and only the best of each question and group leav
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import named, stored
+from ..shared import forget, free_name, named, stored
 
 #: Bytes of question vectors that are sent to every task at once; more questions take more passes over the chunks.
 QUESTION_BYTES = 64 << 20
 #: Questions of one matrix product, and results held in a task before those out of place are dropped.
 QUESTION_BLOCK, HELD = 1024, 1 << 20
+#: Scores of one matrix product with the rows of a cell.
+PRODUCT = 1 << 20
 #: Scores are rounded to so many digits before they are ranked, so that ties are ties everywhere.
 DIGITS = 6
 
@@ -241,9 +245,10 @@ def build_index(chunks: DataFrame, path: str, cells: int | None = None, vector:
                 columns = [c.take(pa.array(rows)) for c in b.columns]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(cell.astype(np.int32)), pa.array(angle)], names=[*b.schema.names, "cell", "angle"])
 
-    placed = chunks.mapInArrow(place, schema)
-    dealt = placed.repartition(F.col("cell"), F.pmod(F.xxhash64(named(chunk)), F.lit(16)))
+    placed = stored(chunks.mapInArrow(place, schema), "index-placed")
+    dealt = placed.repartitionByRange(F.col("cell"), F.xxhash64(named(chunk)))  # few files: a cell is in one task, or in those next to each other
     dealt.write.partitionBy("cell").option("compression", "zstd").parquet(f"{path}/data")
+    forget(placed)
     data = spark.read.schema(schema).parquet(f"{path}/data")
     rows = [(k, c.tolist()) for k, c in enumerate(centres)]
     reach = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("reach"))
@@ -255,73 +260,183 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/cells"))
 
 
-def _probes(questions: DataFrame, index: VectorIndex, query_vector: str) -> DataFrame:
-    """Each question with every cell: place by closeness, rows of the cells before it, and the best cosine a row there can have."""
+def _near_cells(index: VectorIndex) -> Any:
+    """A broadcast of the cells that hold rows: number, centroid, rows and reach of each, by number."""
     cells = index.cells.orderBy("cell").toArrow()
-    sent = questions.sparkSession.sparkContext.broadcast((cells["cell"].to_numpy(), unit_rows(cells["centre"])[1], cells["n"].to_numpy(), cells["reach"].to_numpy()))
+    return index.data.sparkSession.sparkContext.broadcast((cells["cell"].to_numpy(), unit_rows(cells["centre"])[1], cells["n"].to_numpy(), cells["reach"].to_numpy()))
+
+
+def _bound(near: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The best cosine that a row of a cell can have, by the cosine with its centroid and the cell's reach."""
+    return np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - reach))
+
+
+def _probes(questions: DataFrame, index: VectorIndex, query_vector: str, within: int | None = None) -> DataFrame:
+    """Each question with every cell: closeness, rows of the cells before it, and the best cosine a row there can have.
+
+    With ``within``, only cells that fewer rows are before.
+    """
+    sent = _near_cells(index)
     others = [f for f in questions.schema.fields if f.name != query_vector]
-    schema = T.StructType([*others, *[T.StructField(c, k) for c, k in (("cell", T.IntegerType()), ("ahead", T.LongType()), ("bound", T.DoubleType()))]])
+    schema = T.StructType([*others, *[T.StructField(c, k) for c, k in (("cell", T.IntegerType()), ("ahead", T.LongType()), ("bound", T.DoubleType()), ("near", T.DoubleType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         cell, centres, n, reach = sent.value
         for b in batches:
             rows, vectors = unit_rows(b.column(b.schema.get_field_index(query_vector)))
-            for at in range(0, len(rows), 256):
+            for at in range(0, len(rows) if len(cell) else 0, 256):
                 near = vectors[at : at + 256] @ centres.T
                 order = np.argsort(-near, axis=1, kind="stable")
                 ahead = np.cumsum(n[order], axis=1) - n[order]
-                bound = np.cos(np.maximum(0, np.arccos(np.clip(np.take_along_axis(near, order, 1), -1, 1)) - reach[order]))
-                of = np.repeat(rows[at : at + 256], len(cell))
-                columns = [c.take(pa.array(of)) for c, name in zip(b.columns, b.schema.names, strict=True) if name != query_vector]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(cell[order].ravel().astype(np.int32)), pa.array(ahead.ravel()), pa.array(bound.ravel())], names=[f.name for f in schema.fields])
+                near = np.take_along_axis(near, order, 1)
+                q, c = np.nonzero(ahead < (within if within is not None else n.sum() + 1))
+                of = pa.array(rows[at : at + 256][q])
+                columns = [x.take(of) for x, name in zip(b.columns, b.schema.names, strict=True) if name != query_vector]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cell[order[q, c]].astype(np.int32)), pa.array(ahead[q, c]), pa.array(_bound(near[q, c], reach[order[q, c]])), pa.array(near[q, c])], names=[f.name for f in schema.fields])
 
     return questions.mapInArrow(run, schema)
 
 
+def _reached(questions: DataFrame, cells: Any, query_vector: str, floor: str) -> list[int]:
+    """The cells that may hold a row as good as some question's floor (null: any row); at most MOST_CELLS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        cell, centres, _, reach = cells.value
+        met = np.zeros(len(cell), bool)
+        for b in batches:
+            rows, vectors = unit_rows(b.column(0))
+            least = pc.fill_null(b.column(1), -2.0).to_numpy(zero_copy_only=False)[rows]
+            for at in range(0, len(rows) if len(cell) else 0, 256):
+                met |= (_bound(vectors[at : at + 256] @ centres.T, reach) >= least[at : at + 256, None]).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(cell[met].astype(np.int32), pa.int32())], names=["cell"])
+
+    return [r[0] for r in questions.select(named(query_vector), named(floor)).mapInArrow(run, "cell int").distinct().collect()]
+
+
+def _cells_pass(data: DataFrame, cells: Any, asked: pa.Table, keys: Sequence[str], k: int, vector: str, query_vector: str, chunk: str, cut: str, floor: str, schema: T.StructType) -> DataFrame:
+    """One pass over the rows of the cells for a bounded table of questions; each question's k best of every task.
+
+    A question looks at the cells at least as close as its cut, or, where that is null, at those that may hold a row as
+    good as its floor. Rows below the floor are left out (null: none); it rises with what the task has met, so that
+    nearly all pairs cost their product and one comparison.
+    """
+    sent = data.sparkSession.sparkContext.broadcast(asked)
+    read = data.select(*[named(c) for c in dict.fromkeys([*keys, chunk, vector, "cell"])])
+    slack = 10.0**-DIGITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        table, (numbers, centres, _, reach) = sent.value, cells.value
+        held, matrix = unit_rows(table[query_vector])
+        of = table.take(pa.array(held))
+        by_key: dict[tuple, int] = {}
+        key_of = _codes([of[c].combine_chunks() for c in keys], by_key) if keys else np.zeros(len(held), int)
+        least = pc.fill_null(of[floor].combine_chunks(), -2.0).to_numpy(zero_copy_only=False).copy()
+        closest = pc.fill_null(of[cut].combine_chunks(), -3.0).to_numpy(zero_copy_only=False)
+        asking = [np.flatnonzero(key_of == code) for code in range(len(by_key) if keys else 1)]
+        tops: Tops | None = None
+
+        def take(place: int, mine: np.ndarray, vectors: np.ndarray, ids: pa.Array) -> None:
+            near = matrix[mine] @ centres[place]
+            wanted = np.where(closest[mine] > -3, near >= closest[mine] - 1e-12, _bound(near, reach[place]) >= least[mine])
+            mine = mine[wanted]
+            step = max(1, min(QUESTION_BLOCK, PRODUCT // len(vectors)))
+            for at in range(0, len(mine), step):
+                block = mine[at : at + step]
+                raw = matrix[block] @ vectors.T
+                q, c = np.nonzero(raw >= least[block, None])
+                if len(q) > k * len(block):  # more than the best k of each: they raise the floors
+                    rounded = np.round(raw, DIGITS) + 0.0
+                    q, c = best_of(rounded, k)
+                    least[block] = np.maximum(least[block], rounded[q, c].reshape(len(block), k).min(axis=1) - slack)
+                if len(q):
+                    tops.add(block[q], np.zeros(len(q), int), ids.take(pa.array(c)), np.round(raw[q, c], DIGITS) + 0.0)
+
+        for b in batches:
+            rows, vectors = unit_rows(b.column(b.schema.get_field_index(vector)))
+            if not len(rows) or not len(held):
+                continue
+            if vectors.shape[1] != matrix.shape[1]:
+                raise ValueError("questions and chunks differ in length")
+            b = b.take(pa.array(rows))
+            ids, cell = b.column(b.schema.get_field_index(chunk)), b.column(b.schema.get_field_index("cell")).to_numpy()
+            tops = tops or Tops(k, ids.type)
+            key = _codes([b.column(b.schema.get_field_index(c)) for c in keys], dict(by_key)) if keys else np.zeros(len(rows), int)
+            order = pc.sort_indices(pa.table({"key": key, "cell": cell, "id": ids}), sort_keys=[("key", "ascending"), ("cell", "ascending"), ("id", "ascending")]).to_numpy()
+            key, cell, vectors, ids = key[order], cell[order], vectors[order], ids.take(pa.array(order))
+            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True):
+                if key[a] < len(asking) and len(asking[key[a]]):
+                    take(int(np.searchsorted(numbers, cell[a])), asking[key[a]], vectors[a:z], ids.slice(a, z - a))
+        if tops and tops.parts:
+            t = tops.pruned()
+            rows = pa.array(t["question"].to_numpy())
+            columns = {f.name: of[f.name].combine_chunks().take(rows) for f in schema.fields[:-2]}
+            columns |= {chunk: t["chunk"].combine_chunks(), "score": t["score"].combine_chunks()}
+            yield from pa.table(columns).to_batches(max_chunksize=1 << 16)
+
+    return read.mapInArrow(run, schema)
+
+
 def indexed_top_k(index: VectorIndex, questions: DataFrame, ids: Sequence[str], keys: Sequence[str], k: int, sure: bool = False, growth: Sequence[int] = GROWTH, vector: str = "vector", query_vector: str = "query_vector", chunk: str = "chunk_id") -> DataFrame:
     """(ids..., keys..., chunk, score, rank): top k among the rows equal on keys, cell by cell from the nearest on.
 
-    Each question first looks at the cells that hold about the first number of candidates in ``growth``. It goes on to
-    the next number while it has fewer than k hits after the filter; with ``sure`` also while a cell it has not seen may
-    hold a better row than its k-th (by the angle between question and centroid and the reach of the cell). When growth
-    is used up, with ``sure`` the cells that may still matter are searched, so the result is that of an exact search.
-    ``ids`` tell questions apart. Only cells that some question asks for are read.
+    Each question looks at the cells that hold about the first number of candidates in ``growth``, and, while it has fewer
+    than k hits after the filter, at those that hold the next number. With ``sure`` it looks at the last number at once;
+    then all cells that may hold a row as good as its k-th (by the angle between question and centroid and the reach of
+    the cell) are searched, so the result is that of an exact search. ``ids`` tell questions apart. Each question is sent
+    once a step, in blocks of at most QUESTION_BYTES; only cells that some question asks for are read.
     """
     spark = questions.sparkSession
     cols = [*ids, *keys]
-    slack = 10.0**-DIGITS
+    for c in keys:
+        questions = questions.where(named(c).isNotNull())
     questions = stored(questions.select(*[named(c) for c in cols], named(query_vector)), "index-questions")
-    probes = stored(_probes(questions, index, query_vector), "index-probes")
-    found, open_, low = None, questions.select(*ids), -1
-    steps: list[int | None] = [*growth, None] if sure else list(growth)
+    cells = _near_cells(index)
+    kinds = {f.name: f.dataType for f in questions.schema.fields}
+    schema = T.StructType([*[T.StructField(c, kinds[c]) for c in cols], T.StructField(chunk, index.data.schema[chunk].dataType), T.StructField("score", T.DoubleType())])
+    cut, floor, rank = (free_name(c, questions, index.data) for c in ("cut", "floor", "rank"))
+    best = Window.partitionBy(*[named(c) for c in ids]).orderBy(F.desc("score"), chunk)
+
+    def searched(asked: DataFrame, wanted: list[int]) -> DataFrame | None:
+        """The best of the questions (with cut and floor) among the wanted cells."""
+        n, size = asked.agg(F.count("*"), F.max(F.size(query_vector))).first()
+        if not n or not wanted:
+            return None
+        passes = -(-n * 8 * max(1, size or 1) // QUESTION_BYTES)
+        deal = F.pmod(F.xxhash64(*[named(c) for c in ids]), F.lit(passes))
+        data = index.data.where(F.col("cell").isin(wanted))
+        parts = [_cells_pass(data, cells, asked.where(deal == p).toArrow(), keys, k, vector, query_vector, chunk, cut, floor, schema) for p in range(passes)]
+        ranked = functools.reduce(DataFrame.unionByName, parts).withColumn(rank, F.row_number().over(best))
+        return stored(ranked.where(F.col(rank) <= k).drop(rank), "index-found")
+
+    none = F.lit(None).cast("double")
+    steps = list(growth[-1:]) if sure else list(growth)
+    probes = stored(_probes(questions, index, query_vector, max(steps, default=0)), "index-probes")
+    found, left = None, questions
     for step in steps:
-        near = probes.join(open_, list(ids), "left_semi").where(F.col("ahead") > low)
-        if step is not None:
-            near = near.where(F.col("ahead") < step)
-        elif found is not None:  # what is left and may hold a better row, or any where hits are missing
-            kth = found.groupBy(*ids).agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-            near = near.join(kth, list(ids), "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - slack)).drop("kth")
-        asked = stored(near.select(*cols, "cell").join(questions, cols).select(*cols, "cell", query_vector), "index-asked")
-        wanted = [r[0] for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS
-        if wanted:
-            got = top_k(index.data.where(F.col("cell").isin(wanted)), asked, [*keys, "cell"], k, vector, query_vector, chunk).drop("rank", "cell")
-            both = got if found is None else found.unionByName(got)
-            ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy(*[named(c) for c in ids]).orderBy(F.desc("score"), chunk)))
-            found = stored(ranked.where(F.col("rank") <= k).drop("rank"), "index-found")
-        if step is None:
-            break
-        low = step - 1
-        hits = questions.select(*ids) if found is None else questions.select(*ids).join(found.groupBy(*ids).agg(F.count("*").alias("hits"), F.min("score").alias("kth")), list(ids), "left")
-        more = F.lit(True) if found is None else F.coalesce(F.col("hits"), F.lit(0)) < k
-        if sure and found is not None:
-            best = probes.where(F.col("ahead") > low).groupBy(*ids).agg(F.max("bound").alias("best"))
-            hits, more = hits.join(best, list(ids), "left"), more | (F.coalesce(F.col("best"), F.lit(-2.0)) >= F.col("kth") - slack)
-        open_ = stored(hits.where(more).select(*ids), "index-open")
-        if open_.isEmpty():
+        asked_cells = probes.where(F.col("ahead") < step)
+        cuts = asked_cells.groupBy(*[named(c) for c in ids]).agg(F.min("near").alias(cut))
+        asked = stored(left.join(cuts, list(ids)).withColumn(floor, none), "index-asked")
+        got = searched(asked, [r[0] for r in asked_cells.join(asked.select(*ids), list(ids), "left_semi").select("cell").distinct().collect()])
+        if got is not None:
+            found = got if found is None else found.join(left.select(*ids), list(ids), "left_anti").unionByName(got)
+        if sure or step == steps[-1]:
             break
+        if found is not None:
+            done = found.groupBy(*ids).agg(F.count("*").alias("hits")).where(F.col("hits") >= k)
+            left = stored(questions.join(done, list(ids), "left_anti"), "index-open")
+            if left.isEmpty():
+                break
+    if sure:
+        asked = questions.withColumn(floor, none)
+        if found is not None:
+            kth = found.groupBy(*ids).agg(F.when(F.count("*") >= k, F.min("score") - 10.0**-DIGITS).alias(floor))
+            asked = questions.join(kth, list(ids), "left")
+        asked = stored(asked.withColumn(cut, none), "index-asked")
+        found = searched(asked, _reached(asked, cells, query_vector, floor))
     if found is None:
-        kinds = {f.name: f for f in questions.schema.fields}
-        empty = T.StructType([*[kinds[c] for c in cols], T.StructField(chunk, index.data.schema[chunk].dataType), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-        return spark.createDataFrame([], empty)
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*[named(c) for c in ids]).orderBy(F.desc("score"), chunk)))
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
+    return found.withColumn("rank", F.row_number().over(best))

@@ -72,3 +72,21 @@ def test_index_is_exact_when_sure_and_near_when_not(spark, tmp_path):
     probes = vectors._probes(b.where("label IS NOT NULL AND v IS NOT NULL"), index, "v")
     read = probes.where("ahead < 300").join(index.cells, "cell").groupBy("q").agg({"n": "sum"}).agg({"sum(n)": "avg"}).first()[0]
     assert read < 0.25 * index.data.count()  # the rows of the cells that the first step reads
+
+
+def test_index_sends_each_question_once_a_step(spark, tmp_path, monkeypatch):
+    """Not once for each cell that it asks for; a cell is a few files; small blocks, no keys and too few hits change nothing."""
+    chunks, questions, a, b = tables(spark, 2000, seed=9)
+    index = vectors.build_index(a.repartition(4), str(tmp_path / "index"), cells=30, sample=1000)
+    assert len(index.data.inputFiles()) <= 30 + 4
+    sent, plain = [], vectors._cells_pass
+    monkeypatch.setattr(vectors, "_cells_pass", lambda *args: (sent.append(args[2].num_rows), plain(*args))[1])
+    got = vectors.indexed_top_k(index, b, ["q"], ["label"], 10, sure=True, query_vector="v").collect()
+    assert sorted(((r["q"], None, r["chunk_id"], r["score"], r["rank"]) for r in got), key=str) == brute(chunks, [q for q in questions if q["label"]], 10, True, False)
+    assert sum(sent) <= 2 * len(questions)
+    monkeypatch.setattr(vectors, "QUESTION_BYTES", 500)
+    monkeypatch.setattr(vectors, "PRODUCT", 100)
+    monkeypatch.setattr(vectors, "HELD", 50)
+    got = vectors.indexed_top_k(index, b.drop("label"), ["q"], [], 150, sure=True, growth=(40,), query_vector="v").collect()
+    assert sorted(((r["q"], None, r["chunk_id"], r["score"], r["rank"]) for r in got), key=str) == brute(chunks, questions, 150, False, False)
+    assert vectors.indexed_top_k(index, b.limit(0), ["q"], ["label"], 5, sure=True, query_vector="v").count() == 0
