@@ -6,8 +6,9 @@ the index once; group pairs are filtered by size and position, then expanded. A
 difference of two sets from below, so that nearly all pairs left are linked; whole sets verify them.
 
 Classes need no link inside a class twice: a first round verifies each node with its nearest one in a few of the lists
-they share; then all pairs whose ends are still in different classes are enumerated, so that no link between them
-is missed, and large groups of near copies leave rows in proportion to their size. Long lists are dealt out in blocks.
+they share, further rounds the nearest pairs of two classes in all lists, until none is linked; then all pairs whose
+ends are still in different classes are enumerated, so that no link between them is missed, and large groups of near
+copies leave rows in proportion to their size. Long lists are dealt out in blocks.
 
 Null, empty and blank texts have no shingles and are alone; texts of any length are taken whole; equal texts are one
 node; rows that repeat an id are documents of their own; an empty table gives no rows; columns of docs that are not
@@ -46,6 +47,8 @@ SENT = 500_000
 PICKED = 8
 #: Rows of a block compared at once with the whole block; lists up to SHORT entries are compared side by side.
 STRIP, SHORT = 256, 16
+#: Rounds of nearest entries at most, before all pairs across classes are enumerated.
+ROUNDS = 5
 #: Bits of a list entry's parity sketch; a node's own sketch has at least as many bits as shingles.
 SKETCH = 512
 
@@ -254,7 +257,7 @@ def _in_list(join: Join, r: dict[str, np.ndarray], a: int, z: int) -> Iterator[t
 def _pairs(join: Join, nearest: bool):
     """Entries sorted by list and block, (token, x, y, side, n, node, most, grp, own, sketch): compatible pairs (a, b, bits).
 
-    With nearest, of each entry the one with the fewest differing bits in its list, and the one with the list's clearest
+    With nearest, of each entry the one with the fewest differing bits in its list (but one pair of two classes), and the one with the list's clearest
     entry: the one whose prefix has the fewest shingles of its own, which the copies of one text are nearest to. Each
     pair once in a task, but for what many pairs ago was passed on.
     """
@@ -308,6 +311,12 @@ def _pairs(join: Join, nearest: bool):
                 _, firsts = np.unique(ends_of[order], return_index=True)
                 chosen = np.union1d(pair[order[firsts]], to_lead)
                 p, q, bits = p[chosen], q[chosen], bits[chosen]
+                low, high = np.minimum(r["own"][p], r["own"][q]), np.maximum(r["own"][p], r["own"][q])
+                order = np.lexsort((bits, high, low, which[p]))  # of two classes in a list the nearest pair: one link joins them
+                low, high, at = low[order], high[order], which[p][order]
+                best = np.ones(len(order), bool)
+                best[1:] = (at[1:] != at[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+                p, q, bits = p[order[best]], q[order[best]], bits[order[best]]
             found(r, p, q, bits)
 
         rest: dict[str, np.ndarray] | None = None
@@ -457,11 +466,10 @@ def classed_rows(docs: DataFrame, join: Join = Join(), text: str = "text", id_co
 
     def open_lists(entries: DataFrame, labels: DataFrame | None, block: int, all_blocks: bool) -> DataFrame:
         """Entries of lists that hold several classes, in blocks; with all_blocks, each block meets every other one."""
-        known = sketches.withColumn("own", F.col("node")) if labels is None else sketches.join(labels, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("own"))
-        named = entries.join(known, "node")
+        named = entries.withColumn("own", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
         clearest = F.max_by("node", F.col("most") / F.col("n")).alias("clearest")
         lists = named.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("held"), clearest).where("lo < hi")
-        dealt = named.join(lists, "token").withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
+        dealt = named.join(lists, "token").join(sketches, "node").withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
         dealt = dealt.withColumn("at", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
         if all_blocks:
@@ -484,17 +492,26 @@ def classed_rows(docs: DataFrame, join: Join = Join(), text: str = "text", id_co
         forget(close, sets)
         return good
 
+    def joined(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """links (a, b) and those that make the classes so far."""
+        return links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+
     pair = "a long, b long, bits long"
-    near = open_lists(entries.where("picked"), None, NEAR_BLOCK, False).mapInArrow(_pairs(join, True), pair)
-    first = stored(near.select("a", "b").distinct(), "jaccard-nearest")
-    links = linked(first)
-    labels = None if links is None else components(links)
+    tried: DataFrame | None = None
+    labels: DataFrame | None = None
+    for _ in range(ROUNDS):  # classes met by their nearest pairs, until a round links none: what is left across them is little
+        near = open_lists(entries.where("picked") if tried is None else entries, labels, NEAR_BLOCK, False).mapInArrow(_pairs(join, True), pair).select("a", "b").distinct()
+        fresh = stored(near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "jaccard-nearest")
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        good = linked(fresh)
+        if good is None or good.isEmpty():
+            break
+        labels = components(joined(good, labels))
 
     pairs = open_lists(entries, labels, BLOCK, True).mapInArrow(_pairs(join, False), pair)
-    more = linked(stored(pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "jaccard-across"))
+    more = linked(stored(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-across"))
     if more is not None:
-        known = more if labels is None else more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = components(known)
+        labels = components(joined(more, labels))
 
     forget(prefixes, entries)
     named = nodes.withColumn("component", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

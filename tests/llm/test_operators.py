@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -425,3 +426,14 @@ def test_mix_keeps_columns_whatever_their_names(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 9, "x"), (2, None, None, 8, "y")], "doc_id long, text string, source string, size int, `a.b` string").withColumn("mix_source", F.lit("m"))
     got = by_id(mixing.mix(docs, keep=["size", "a.b", "mix_source"]))
     assert (got[1]["size"], got[1]["a.b"], got[1]["mix_source"], got[2]["size"]) == (2, "x", "m", 0)
+
+
+def test_two_classes_meet_once_in_a_list():
+    """A round of nearest entries makes a pair for each two classes, not for each entry of them."""
+    rng, n = np.random.default_rng(1), 80
+    sketch = [rng.integers(0, 2, jaccard_join.SKETCH).astype(np.uint8)] * n
+    sketch = [np.packbits(np.where(np.arange(len(x)) == k, 1 - x, x)).tobytes() for k, x in enumerate(sketch)]  # each pair differs in two bits
+    fixed = {"token": [7] * n, "x": [0] * n, "y": [0] * n, "side": [0] * n, "n": [200] * n, "node": range(n), "most": [200] * n, "grp": range(n), "own": [k % 2 for k in range(n)]}
+    batch = pa.RecordBatch.from_arrays([*[pa.array(v, pa.int64()) for v in fixed.values()], pa.array(sketch, pa.binary())], names=[*fixed, "sketch"])
+    rows = lambda nearest: sum(b.num_rows for b in jaccard_join._pairs(jaccard_join.Join(), nearest)(iter([batch])))
+    assert rows(False) == (n // 2) ** 2 and rows(True) == 1
