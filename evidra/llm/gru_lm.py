@@ -4,8 +4,8 @@ Words of the model's own vocabulary are in classes by frequency; every other wor
 last two bytes. A token's probability is that of its class given the state, times that of the word in its class: a
 softmax for vocabulary words, and smoothed corpus counts for the others. The state runs from the first to the last
 token of a text. Counts cover every training document. The network starts from a bounded sample; then every task
-carries it on over one stretch of each of its training documents, in proportion to the document's length, and the
-tasks' weights are averaged by tokens, so that what it learns from grows with the corpus.
+carries it on over every token of its training documents, and the tasks' weights are averaged by tokens, so that it
+learns from the whole corpus.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ VOCABULARY, IN_CLASS, ENDINGS, STATE = 2048, 64, 96, 32
 HEAD = 1 << 16
 #: Bound of the sample that the network starts from, in documents and in tokens of each; lanes and steps of a window.
 SAMPLE, SAMPLE_TOKENS, LANES, STEPS = 3000, 400, 64, 24
-#: One in so many tokens of every training document is learned from afterwards, in one stretch of at least so many;
-#: lanes then, and tokens of a lane learned from at once; parts that a set of weights is cut into when it is averaged.
-ONE_IN, SHORTEST, WIDE, LANE, PARTS = 16, 48, 256, 480, 64
+#: Lanes in the pass over every training token, and tokens of a lane learned from at once; parts that a set of weights
+#: is cut into when it is averaged.
+WIDE, LANE, PARTS = 256, 480, 64
 #: Distinct words counted in Python before they are passed on; tokens scored together.
 COUNTED, TOGETHER = 300_000, 1_500_000
 ADD = 0.1
@@ -145,7 +145,7 @@ class Gru:
                         q *= scale
                         g["w"][:, own], g["wb"][own] = hs[rows].T @ q, q.sum(axis=0)
                         gh[rows] += q @ w["w"][:, own].T
-                back, lanes = np.zeros_like(h), len(streams)
+                back, lanes, inward = np.zeros_like(h), len(streams), np.empty((len(ids), 3 * s), np.float32)
                 for k in range(steps - 1, -1, -1):
                     d = gh[k * lanes : (k + 1) * lanes] + back
                     before, z, r, n, yn = kept[k]
@@ -153,9 +153,13 @@ class Gru:
                     dz = d * (before - n) * z * (1 - z)
                     dr = dn * yn * r * (1 - r)
                     dy = np.concatenate([dz, dr, dn * r], axis=1)
-                    np.add.at(g["x"], block[:, k], np.concatenate([dz, dr, dn], axis=1))
+                    inward[k * lanes : (k + 1) * lanes] = np.concatenate([dz, dr, dn], axis=1)
                     g["u"] += before.T @ dy
                     back = (d * z + dy @ w["u"].T) * (block[:, k] != 0)[:, None]
+                read = block[:, :-1].T.ravel()
+                order = np.argsort(read, kind="stable")
+                met, starts = np.unique(read[order], return_index=True)
+                g["x"][met] = np.add.reduceat(inward[order], starts)
                 t += 1
                 for k in w:
                     gk = np.clip(g[k], -1, 1)
@@ -315,8 +319,8 @@ def fit(train: DataFrame, counts: Counts, id_column: str = "doc_id", text: str =
 def spread(train: DataFrame, counts: Counts, model: Gru, text: str = "text") -> Gru:
     """The model after one pass over every training text: each task learns on from model, and the weights are averaged.
 
-    Of each text one stretch is learned from, about one token in ONE_IN, at a place by its hash. The averaging is done
-    by parts of the weights in tasks of their own, so one set of weights comes to the driver.
+    Every token is learned from once, the ends of texts too. The averaging is done by parts of the weights in tasks of
+    their own, so one set of weights comes to the driver.
     """
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast((counts, model))
@@ -325,29 +329,27 @@ def spread(train: DataFrame, counts: Counts, model: Gru, text: str = "text") ->
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, start = shared.value
         reader, net = Reader(own), Gru({k: v.copy() for k, v in start.weights.items()})
-        held, amount, learned = [], 0, 0
+        held, amount, learned = [np.zeros(1, np.int32)], 1, 0
 
         def take() -> None:
+            """Learns from all tokens held; the last, as what comes before the next, and what fills no lanes stay."""
             nonlocal held, amount, learned
             flat = np.concatenate(held)
             lanes = max(1, min(WIDE, len(flat) // (2 * STEPS)))
-            use = len(flat) // lanes
-            if use > 1:
-                net.learn(flat[: use * lanes].reshape(lanes, use).copy(), epochs=1, rate=1e-3)
+            use = (len(flat) - 1) // lanes
+            if use:
+                net.learn(np.stack([flat[k * use : k * use + use + 1] for k in range(lanes)]), epochs=1, rate=1e-3)
                 learned += use * lanes
-            held, amount = [], 0
+            held = [flat[use * lanes :]]
+            amount = len(held[0])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                tokens = words(t)
-                size = max(SHORTEST, len(tokens) // ONE_IN)
-                at = zlib.crc32(b" ".join(tokens[:64])) % max(1, len(tokens) + 1 - size)
-                stretch = tokens[at : at + size]
-                held.append(np.concatenate([[0], reader.numbers(stretch), [0] * (at + size >= len(tokens))]).astype(np.int32))
+                held.append(np.append(reader.numbers(words(t)), 0).astype(np.int32))
                 amount += len(held[-1])
-            if amount >= WIDE * LANE:
-                take()
-        if amount:
+                if amount >= WIDE * LANE:
+                    take()
+        while amount > 1:
             take()
         flat = np.concatenate([net.weights[k].ravel() for k in names])
         parts = [x.astype("<f4").tobytes() for x in np.array_split(flat, PARTS)]

@@ -437,3 +437,11 @@ def test_two_classes_meet_once_in_a_list():
     batch = pa.RecordBatch.from_arrays([*[pa.array(v, pa.int64()) for v in fixed.values()], pa.array(sketch, pa.binary())], names=[*fixed, "sketch"])
     rows = lambda nearest: sum(b.num_rows for b in jaccard_join._pairs(jaccard_join.Join(), nearest)(iter([batch])))
     assert rows(False) == (n // 2) ** 2 and rows(True) == 1
+
+
+def test_network_learns_from_every_training_token(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, None if k == 7 else "one two three four five " * (k % 40)) for k in range(300)], "doc_id long, text string").repartition(3)
+    kept, plain = {}, gru_lm.stored
+    monkeypatch.setattr(gru_lm, "stored", lambda df, name, **options: kept.setdefault(name, plain(df, name, **options)))
+    tokens = gru_lm.query(docs).first()["train_tokens"]
+    assert kept["gru-parts"].where("part = 0").groupBy().sum("n").first()[0] == tokens
