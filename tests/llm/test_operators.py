@@ -445,3 +445,61 @@ def test_network_learns_from_every_training_token(spark, monkeypatch):
     monkeypatch.setattr(gru_lm, "stored", lambda df, name, **options: kept.setdefault(name, plain(df, name, **options)))
     tokens = gru_lm.query(docs).first()["train_tokens"]
     assert kept["gru-parts"].where("part = 0").groupBy().sum("n").first()[0] == tokens
+
+
+def test_network_learns_and_scores_from_numbers_read_once(spark, tmp_path):
+    """Texts are counted and read; learning and scoring need the numbers alone, so the texts may be gone by then."""
+    texts = [None, "", " \n\t", "q", " A  b\x0bÉ\x1cx \x85 ", "one Two three four five " * 40, "ß 日本 \x00 z\r\nz"] + ["one two six " * (k % 30) for k in range(200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    vocabulary = gru_lm.stored(gru_lm.count_words(docs), "gru-vocabulary")
+    want = Counter(w for t in texts for w in [*words(t), b""])
+    assert {bytes(r["word"]): r["c"] for r in vocabulary.collect()} == want
+    counts = gru_lm.summarise(vocabulary)
+    rows = gru_lm.read(docs, counts, F.col("doc_id") % 10 != 0)
+    for f in (tmp_path / "docs").iterdir():
+        f.unlink()
+    got = by_id(gru_lm.score(rows, counts, gru_lm.spread(rows, gru_lm.fit(rows)), vocabulary))
+    assert {k: r["n_tokens"] for k, r in got.items()} == {k: len(words(t)) + 1 for k, t in enumerate(texts)}
+    assert all(r["n_known"] == r["n_tokens"] and math.isfinite(r["score"]) for r in got.values())
+    numbers = {r["doc_id"]: np.frombuffer(r["numbers"], "<u2").tolist() for r in rows.where("kind = 'doc'").collect()}
+    place = {w: k + 1 for k, w in enumerate(counts.head)}
+    assert numbers == {k: [*(place[w] for w in words(t)), 0] for k, t in enumerate(texts)}
+
+
+def test_gru_first_update_goes_down_the_slope():
+    """The first update of Adam moves a weight by the rate against its gradient, here taken from differences of the loss."""
+    rng = np.random.default_rng(3)
+    streams = np.where(rng.random((8, gru_lm.STEPS + 1)) < 0.1, 0, rng.integers(0, gru_lm.VOCABULARY + gru_lm.ENDINGS, (8, gru_lm.STEPS + 1))).astype(np.int32)
+
+    def loss(model):
+        h, total = np.zeros((len(streams), gru_lm.STATE), np.float32), 0.0
+        for k in range(gru_lm.STEPS):
+            h = model.step(h * (streams[:, k] != 0)[:, None], streams[:, k])[0]
+            total -= float(model.log_probability(h, streams[:, k + 1]).astype(np.float64).sum())
+        return total
+
+    learned, weights = gru_lm.Gru.new(), gru_lm.Gru.new().weights
+    learned.learn(streams, epochs=1, rate=1e-3)
+    met, word = int(streams[0, 1]) or int(streams[0, 2]), int(next(k for k in streams[0, 1:] if 0 < k < gru_lm.VOCABULARY))
+    told = 0
+    for name, at in [("x", (met, 3)), ("x", (met, 40)), ("x", (met, 70)), ("x", (0, 5)), ("u", (4, 9)), ("u", (7, 44)), ("u", (11, 80)), ("c", (3, 50)), ("cb", (60,)), ("w", (5, word)), ("wb", (word,))]:
+        sides = []
+        for by in (0.05, -0.05):
+            moved = {k: v.copy() for k, v in weights.items()}
+            moved[name][at] += by
+            sides.append(loss(gru_lm.Gru(moved)))
+        if abs(sides[0] - sides[1]) > 2e-3:
+            told += 1
+            assert (learned.weights[name][at] - weights[name][at]) / 1e-3 == pytest.approx(-np.sign(sides[0] - sides[1]), abs=0.01), (name, at)
+    assert told >= 6
+
+
+def test_gru_sums_repeated_inputs():
+    rng = np.random.default_rng(4)
+    ids, rows = np.minimum(rng.zipf(1.4, 900), 2000).astype(np.intp), rng.normal(size=(3, 900, 32)).astype(np.float32)
+    got, want = np.zeros((3, 2144, 32), np.float32), np.zeros((3, 2144, 32))
+    gru_lm._add_by(ids, rows, got)
+    for plane in range(3):
+        np.add.at(want[plane], ids, rows[plane])
+    assert np.allclose(got, want, atol=1e-3)
